@@ -6,7 +6,9 @@ from importlib import import_module
 
 from repurchase.catalog.registry import CATALOG, Entry
 
-_MODULES = ("snapshot", "labels", "rolling")
+_MODULES = (
+    "tables", "profiles", "snapshot", "labels", "rolling", "decisions", "selection", "clusters", "models",
+)
 
 
 def load() -> dict[str, Entry]:

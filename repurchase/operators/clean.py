@@ -50,11 +50,16 @@ def fill_const(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.withColumns({c: X.fill(c, v) for c, v in values.items()})
 
 
+def column_means(df: DataFrame, columns: Sequence[str], decimals: int | None = None) -> dict[str, float | None]:
+    """Mean of each column. One scan; the driver receives one row."""
+    row = df.agg(*[X.mean(c, decimals).alias(c) for c in columns]).first()
+    return {c: row[c] for c in columns}
+
+
 def fill_mean(df: DataFrame, columns: Sequence[str] | None = None, decimals: int | None = None) -> DataFrame:
-    """Numeric nulls replaced by the column mean; all means come from one aggregate row."""
-    columns = list(columns if columns is not None else numeric_columns(df))
-    means = df.agg(F.struct(*[X.mean(c, decimals).alias(c) for c in columns])).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in columns})
+    """Numeric nulls replaced by the column mean."""
+    means = column_means(df, list(columns if columns is not None else numeric_columns(df)), decimals)
+    return fill_const(df, {c: mean for c, mean in means.items() if mean is not None})
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,12 +67,13 @@ def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Values are counted in a grouped aggregation first, so no task holds all values of a column.
     """
-    filled = {}
+    modes = {}
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        mode = counts.agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c)))).scalar()
-        filled[c] = F.coalesce(F.col(c), mode)
-    return df.withColumns(filled)
+        most = counts.orderBy(F.desc("_n"), c).first()
+        if most is not None:
+            modes[c] = most[c]
+    return fill_const(df, modes)
 
 
 def clean_inf(df: DataFrame, columns: Sequence[str], fill: float | None = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.operators.ranking import running_totals
+from repurchase.operators.scaling import value_ranges
 from repurchase.operators.selection import equal_width_bin
 
 
@@ -43,11 +44,11 @@ def log_loss(df: DataFrame, label: str, score: str, eps: float = 1e-15) -> DataF
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Counts in equal-width bins between minimum and maximum, empty bins included."""
-    ends = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    # A constant column gets a range of width 1 around its value.
-    constant = ends.getField("low") == ends.getField("high")
-    low = F.when(constant, ends.getField("low") - 0.5).otherwise(ends.getField("low"))
-    high = F.when(constant, ends.getField("high") + 0.5).otherwise(ends.getField("high"))
+    low, high = value_ranges(df, [column])[column]
+    if low == high:
+        # A constant column gets a range of width 1 around its value.
+        low, high = low - 0.5, high + 0.5
+    low, high = F.lit(low).cast("double"), F.lit(high).cast("double")
     placed = df.select(equal_width_bin(F.col(column), low, high, bins).alias("bin")).where(F.col("bin").isNotNull())
     counted = placed.groupBy("bin").agg(F.count("*").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

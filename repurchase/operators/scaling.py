@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def value_ranges(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Scalar subquery with the (low, high) of each column, computed in one scan."""
+def value_ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """(low, high) of each column. One scan; the driver receives one row and uses it as literals.
+
+    Literals keep the plan of a wide table small, where a subquery per column would multiply it.
+    """
     pairs = [F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in columns]
-    return df.agg(F.struct(*pairs)).scalar()
+    row = df.agg(*pairs).first()
+    return {c: (row[c]["low"], row[c]["high"]) for c in columns}
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -23,7 +27,7 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     ranges = value_ranges(df if fit_on is None else fit_on, columns)
 
     def scaled(c: str) -> Column:
-        low, high = ranges.getField(c).getField("low"), ranges.getField(c).getField("high")
+        low, high = (F.lit(end) for end in ranges[c])
         return F.try_divide((F.col(c) - low).cast("double"), (high - low).cast("double"))
 
     return df.withColumns({c: scaled(c) for c in columns})

@@ -8,26 +8,40 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repurchase.operators.clean import fill_mean
+from repurchase.operators.clean import column_means
 from repurchase.operators.scaling import value_ranges
 
 
-def anova_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """One-way F statistic of each feature over the classes; nulls count as the column mean.
+def _long(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """One row per labelled row and feature: class, position of the feature, value; nulls as the mean.
 
-    One aggregation per class over all features; what remains is a row per class and feature.
+    A feature is one expression here whatever the width of the table, and grouping by class and
+    position is combined before the shuffle down to a row per class and feature.
     """
-    filled = fill_mean(df.where(F.col(label).isNotNull()).select(label, *columns), columns)
-    moments = [
-        F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.var_samp(c).alias("var")) for c in columns
-    ]
-    per_class = filled.groupBy(label).agg(F.count("*").alias("n"), F.array(*moments).alias("m"))
-    cells = per_class.select("n", F.inline("m"))
-    feature = Window.partitionBy("feature")
+    rows = df.where(F.col(label).isNotNull())
+    means = column_means(rows, columns)
+    cells = F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("at", "value")
+    cells = rows.select(F.col(label).alias("class"), cells)
+    return cells.withColumn("value", F.coalesce("value", _by_position([means[c] for c in columns])))
+
+
+def _by_position(values: Sequence, kind: str = "double") -> Column:
+    """The entry of ``values`` that belongs to the feature of a long row."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("at"))
+
+
+def anova_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """One-way F statistic of each feature over the classes; nulls count as the column mean."""
+    cells = _long(df, columns, label)
+    per_class = cells.groupBy("at", "class").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var")
+    )
+    # From here on one row per class and feature.
+    feature = Window.partitionBy("at")
     grand = F.sum(F.col("n") * F.col("mean")).over(feature) / F.sum("n").over(feature)
-    cells = cells.withColumn("between", F.col("n") * F.pow(F.col("mean") - grand, F.lit(2.0)))
+    per_class = per_class.withColumn("between", F.col("n") * F.pow(F.col("mean") - grand, F.lit(2.0)))
     within = (F.col("n") - 1) * F.coalesce("var", F.lit(0.0))
-    sums = cells.groupBy("feature").agg(
+    sums = per_class.groupBy("at").agg(
         F.sum("between").alias("ssb"),
         F.sum(within).alias("ssw"),
         F.count("*").alias("classes"),
@@ -36,7 +50,7 @@ def anova_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame
     ratio = F.try_divide(
         F.try_divide(F.col("ssb"), F.col("classes") - 1), F.try_divide(F.col("ssw"), F.col("rows") - F.col("classes"))
     )
-    return sums.select("feature", ratio.alias("score"))
+    return sums.select(_by_position(columns, "string").alias("feature"), ratio.alias("score"))
 
 
 def equal_width_bin(c: Column, low: Column, high: Column, bins: int) -> Column:
@@ -45,16 +59,6 @@ def equal_width_bin(c: Column, low: Column, high: Column, bins: int) -> Column:
     return F.when(c.isNotNull(), F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)))
 
 
-def _quantile_bins(df: DataFrame, columns: Sequence[str], bins: int, error: float) -> list[Column]:
-    cuts = df.approxQuantile(list(columns), [i / bins for i in range(1, bins)], error)
-    return [
-        F.when(
-            F.col(c).isNotNull(), sum(((F.col(c) > e).cast("int") for e in sorted(set(edges))), F.lit(0))
-        )
-        for c, edges in zip(columns, cuts)
-    ]
-
-
 def mutual_info(
     df: DataFrame,
     columns: Sequence[str],
@@ -66,29 +70,30 @@ def mutual_info(
     """Mutual information (nats) between each binned feature and the label; nulls count as the mean.
 
     ``method`` is ``width`` for equal-width bins or ``quantile`` for bins of about equal size.
-    Rows are counted per feature, bin and class before anything is shuffled.
     """
-    filled = fill_mean(df.where(F.col(label).isNotNull()).select(label, *columns), columns)
+    cells = _long(df, columns, label)
     if method == "width":
-        ranges = value_ranges(filled, columns)
-        binned = [
-            equal_width_bin(F.col(c), ranges.getField(c).getField("low"), ranges.getField(c).getField("high"), bins)
-            for c in columns
-        ]
+        # The mean lies inside the range, so filling does not move the ends.
+        ranges = value_ranges(df.where(F.col(label).isNotNull()), columns)
+        low, high = (_by_position([ranges[c][end] for c in columns]) for end in (0, 1))
+        chosen = equal_width_bin(F.col("value"), low, high, bins)
     elif method == "quantile":
-        binned = _quantile_bins(filled, columns, bins, error)
+        cuts = df.approxQuantile(list(columns), [i / bins for i in range(1, bins)], error)
+        chosen = F.lit(0)
+        for i in range(bins - 1):
+            chosen = chosen + (F.col("value") > _by_position([c[i] for c in cuts])).cast("int")
     else:
         raise ValueError(f"method must be 'width' or 'quantile', not {method!r}")
-    cells = [F.struct(F.lit(c).alias("feature"), b.alias("bin")) for c, b in zip(columns, binned)]
-    rows = filled.select(F.col(label).alias("class"), F.inline(F.array(*cells)))
-    joint = rows.groupBy("feature", "bin", "class").agg(F.count("*").alias("n"))
+    joint = cells.groupBy("at", chosen.alias("bin"), "class").agg(F.count("*").alias("n"))
 
+    # From here on one row per feature, bin and class.
     def size(*keys: str) -> Column:
         return F.sum("n").over(Window.partitionBy(*keys))
 
-    both, every = F.col("n"), size("feature")
-    term = both / every * F.log(both * every / (size("feature", "bin") * size("feature", "class")))
-    return joint.withColumn("term", term).groupBy("feature").agg(F.sum("term").alias("score"))
+    both, every = F.col("n"), size("at")
+    term = both / every * F.log(both * every / (size("at", "bin") * size("at", "class")))
+    scores = joint.withColumn("term", term).groupBy("at").agg(F.sum("term").alias("score"))
+    return scores.select(_by_position(columns, "string").alias("feature"), "score")
 
 
 def select_top(scores: DataFrame, n: int) -> DataFrame:
