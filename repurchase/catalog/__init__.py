@@ -7,7 +7,7 @@ from importlib import import_module
 from repurchase.catalog.registry import CATALOG, Entry
 
 _MODULES = (
-    "tables", "profiles", "snapshot", "labels", "rolling", "decisions", "selection", "clusters", "models",
+    "tables", "scalars", "profiles", "snapshot", "labels", "rolling", "decisions", "selection", "clusters", "models",
 )
 
 

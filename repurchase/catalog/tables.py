@@ -9,6 +9,7 @@ from repurchase.catalog.fixtures import ORDER_LINES, SNAPSHOT, TX, UNTIL, cents,
 from repurchase.catalog.registry import query
 from repurchase.catalog.snapshot import round_std, snapshot_sql
 from repurchase.operators import clean as C
+from repurchase.operators.labels import history
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.runtime import scratch_path
 from repurchase.schema import ORDER_LINE_COLUMNS
@@ -47,6 +48,16 @@ def _(spark, sf_dir):
     return transactions.read_transactions(spark, path, "parquet")
 
 
+@query(
+    "s1_stored_by_month",
+    f"with {TX} select {', '.join(TX_COLUMNS)} from tx where order_pay_time <= timestamp '{UNTIL}'",
+)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "order-lines")
+    transactions.save_transactions(order_lines(spark, sf_dir, *TX_COLUMNS), path)
+    return history(transactions.read_transactions(spark, path, "parquet"), UNTIL).select(*TX_COLUMNS)
+
+
 @query("s2_roundtrip", f"with {TX}, {snapshot_sql(UNTIL)} select * from snapshot")
 def _(spark, sf_dir):
     path = scratch_path(spark, "features")

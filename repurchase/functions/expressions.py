@@ -28,6 +28,25 @@ def non_finite(c: str | Column, floating: bool = True) -> Column:
     return missing | F.isnan(column(c)) | is_infinite(c) if floating else missing
 
 
+def finite(c: str | Column) -> Column:
+    return ~non_finite(c)
+
+
+def whole(c: str | Column) -> Column:
+    """The number without its fraction; null where no long can hold it."""
+    return column(c).try_cast("long")
+
+
+def flag(condition: Column) -> Column:
+    """1 where the condition holds, else 0."""
+    return F.when(condition, 1).otherwise(0)
+
+
+def one_if_positive(c: str | Column) -> Column:
+    """1 for positive values, any other value as it is."""
+    return F.when(column(c) > 0, F.lit(1.0)).otherwise(column(c))
+
+
 def any_null(c: str | Column) -> Column:
     """Aggregate: whether any value is null."""
     return F.coalesce(F.bool_or(column(c).isNull()), F.lit(False))
@@ -53,9 +72,18 @@ def days_since(epoch: str | date, c: str | Column) -> Column:
     return F.datediff(F.to_date(column(c)), as_date(epoch))
 
 
-def calendar(first: str | date, days: int) -> Column:
+def month_number(c: str | Column) -> Column:
+    """Year and month as yyyymm."""
+    return F.year(column(c)) * 100 + F.month(column(c))
+
+
+def calendar_from(first: Column, days: int) -> Column:
     """Array of ``days`` consecutive dates."""
-    return F.sequence(as_date(first), F.date_add(as_date(first), days - 1))
+    return F.sequence(first, F.date_add(first, days - 1))
+
+
+def calendar(first: str | date, days: int) -> Column:
+    return calendar_from(as_date(first), days)
 
 
 def time_parts(c: str | Column, prefix: str) -> list[Column]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repurchase.operators.splits import shuffle_key
+from repurchase.runtime import join_lookup
 
 UNKNOWN = -1
 # The centers travel with every task; a model beyond this many numbers (128 MB) is refused.
@@ -138,7 +139,7 @@ def kmeans_predict(
     """Add the label of the nearest cluster, -1 where it has none."""
     # One row per cluster.
     named = labels.select("cluster", F.col("label").alias(name))
-    joined = assign(df, centroids, features).join(F.broadcast(named), "cluster", "left")
+    joined = join_lookup(assign(df, centroids, features), named, ["cluster"], "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(UNKNOWN))).drop("cluster")
 
 

@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.functions import expressions as X
+from repurchase.schema import MONTH_COLUMN
+
+
+def _in_time(tx: DataFrame, bound: Column, time: str, inside: Column, months) -> DataFrame:
+    """Lines inside a bound in time; on a table stored by month, only from the months it touches."""
+    if time == "order_pay_time" and MONTH_COLUMN in tx.columns:
+        inside = inside & months(F.col(MONTH_COLUMN), X.month_number(bound))
+    return tx.where(inside)
 
 
 def history(tx: DataFrame, until, time: str = "order_pay_time") -> DataFrame:
     """Lines up to and including the cutoff."""
-    return tx.where(F.col(time) <= X.as_timestamp(until))
+    cutoff = X.as_timestamp(until)
+    return _in_time(tx, cutoff, time, F.col(time) <= cutoff, Column.__le__)
 
 
 def future(tx: DataFrame, until, time: str = "order_pay_time") -> DataFrame:
     """Lines strictly after the cutoff."""
-    return tx.where(F.col(time) > X.as_timestamp(until))
+    cutoff = X.as_timestamp(until)
+    return _in_time(tx, cutoff, time, F.col(time) > cutoff, Column.__ge__)
 
 
 def since(tx: DataFrame, start, day: str = "order_pay_time") -> DataFrame:
@@ -23,7 +33,8 @@ def since(tx: DataFrame, start, day: str = "order_pay_time") -> DataFrame:
 
     Written as a bound on the timestamp itself, which a Parquet scan can use to skip data.
     """
-    return tx.where(F.col(day) >= F.date_add(X.as_date(start), 1).cast("timestamp_ntz"))
+    first = F.date_add(X.as_date(start), 1).cast("timestamp_ntz")
+    return _in_time(tx, first, day, F.col(day) >= first, Column.__ge__)
 
 
 def buyers(tx: DataFrame, key: str = "customer_id") -> DataFrame:

@@ -44,11 +44,6 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*cells)))
-
-
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, sample standard deviation, min, quartiles, max of each numeric column.
 
@@ -73,7 +68,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact:
     stats = _per_column(df, structs)
     if exact:
         # Both sides have one row per column.
-        stats = stats.join(exact_quantiles(_long(df, columns, "double"), QUARTILES), "column_name", "left")
+        stats = stats.join(exact_quantiles(df, columns, QUARTILES), "column_name", "left")
     quartiles = [F.col("quantiles")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
     return stats.select("column_name", "count", "mean", "std", "min", *quartiles, "max")
 
@@ -85,10 +80,11 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     """
     columns = list(columns or text_columns(df))
     # A column without any value keeps its null entry and so appears with count 0.
-    counted = _long(df, columns, "string").groupBy("column_name", "value").agg(F.count("*").alias("rows"))
+    cells = df.select(F.posexplode(F.array(*[F.col(c).cast("string") for c in columns])).alias("at", "value"))
+    counted = cells.groupBy("at", "value").agg(F.count("*").alias("rows"))
     counted = counted.withColumn("n", F.when(F.col("value").isNotNull(), F.col("rows")))
     common = F.when(F.col("n").isNotNull(), F.struct(-F.col("n"), F.col("value")))
-    return counted.groupBy("column_name").agg(
+    summary = counted.groupBy("at").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
         F.count("value").alias("unique"),
         F.min_by("value", common).alias("top"),
@@ -96,6 +92,7 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
         F.min("value").alias("first"),
         F.max("value").alias("last"),
     )
+    return summary.withColumn("column_name", F.get(F.array(*[F.lit(c) for c in columns]), F.col("at"))).drop("at")
 
 
 def summary_table(df: DataFrame, exact: bool = True) -> DataFrame:

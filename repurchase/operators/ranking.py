@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repurchase.runtime import checkpointed
+from repurchase.runtime import checkpointed, join_lookup
 
 _SLOT, _SLICE, _BEFORE = "_slot", "_slice", "_before"
 # monotonically_increasing_id keeps the row number inside the partition in its lower 33 bits.
@@ -28,7 +28,7 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_SLICE, F.coalesce(F.sum(_BEFORE).over(earlier), F.lit(0)).alias(_BEFORE))
     inside = F.col(_SLOT).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    placed = ordered.join(F.broadcast(offsets), _SLICE).withColumn(name, F.col(_BEFORE) + inside + 1)
+    placed = join_lookup(ordered, offsets, [_SLICE]).withColumn(name, F.col(_BEFORE) + inside + 1)
     return placed.drop(_SLOT, _SLICE, _BEFORE)
 
 
@@ -51,21 +51,22 @@ def running_totals(
         *within, _SLICE, *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"{_BEFORE}_{t}") for t in totals]
     )
     inside = Window.partitionBy(*within, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = sliced.join(F.broadcast(offsets), [*within, _SLICE])
+    summed = join_lookup(sliced, offsets, [*within, _SLICE])
     running = {t: F.col(f"{_BEFORE}_{t}") + F.sum(t).over(inside) for t in totals}
     return summed.withColumns(running).drop(_SLICE, *[f"{_BEFORE}_{t}" for t in totals])
 
 
-def exact_quantiles(long: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles per ``column_name`` of the non-null ``value``s of a long table.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles of the non-null values of each column.
 
     Returns column_name, quantiles (array, one entry per probability).
     """
+    cells = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("at", "value"))
     # Equal values are merged before the shuffle, so a frequent value costs no more than a rare one.
-    counted = long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    upto = running_totals(counted, {"upto": F.col("n")}, [F.col("value")], ["column_name"])
-    sizes = upto.groupBy("column_name").agg(F.sum("n").alias("size"))
-    placed = upto.join(F.broadcast(sizes), "column_name")
+    counted = cells.where(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count("*").alias("n"))
+    upto = running_totals(counted, {"upto": F.col("n")}, [F.col("value")], ["at"])
+    # One row per column.
+    placed = join_lookup(upto, upto.groupBy("at").agg(F.sum("n").alias("size")), ["at"])
 
     def value_at(position: Column) -> Column:
         covers = (position >= F.col("upto") - F.col("n")) & (position < F.col("upto"))
@@ -77,7 +78,8 @@ def exact_quantiles(long: DataFrame, probabilities: Sequence[float]) -> DataFram
         low, high = value_at(F.floor(exact)), value_at(F.ceil(exact))
         share = F.max(exact - F.floor(exact))
         quantiles.append(low + (high - low) * share)
-    return placed.groupBy("column_name").agg(F.array(*quantiles).alias("quantiles"))
+    found = placed.groupBy("at").agg(F.array(*quantiles).alias("quantiles"))
+    return found.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("at")).alias("column_name"), "quantiles")
 
 
 def top_n(df: DataFrame, score: str, n: int, tie: str) -> DataFrame:

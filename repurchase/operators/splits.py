@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.operators.ranking import running_totals, with_position
+from repurchase.runtime import join_lookup
 
 
 def shuffle_key(key: str, seed: int) -> Column:
@@ -31,7 +32,7 @@ def with_holdout(
     # One row per class.
     sizes = placed.groupBy(label).agg(F.count("*").alias("_size"))
     taken = F.col("_at") <= F.floor(F.col("_size") * F.lit(share) + 0.5)
-    return placed.join(F.broadcast(sizes), label).withColumn(name, taken).drop("_hash", "_at", "_size")
+    return join_lookup(placed, sizes, [label]).withColumn(name, taken).drop("_hash", "_at", "_size")
 
 
 def stratified_split(

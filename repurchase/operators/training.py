@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repurchase.operators.clean import clean_inf
 from repurchase.operators.selection import assemble
-from repurchase.runtime import shared_dir
+from repurchase.runtime import join_lookup, shared_dir
 from repurchase.schema import GbtParams
 
 
@@ -31,7 +31,7 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     rows = sizes.agg(F.sum("_n") / F.count("*")).scalar()
     weights = sizes.select(label, (rows / F.col("_n")).alias(name))
-    return df.join(F.broadcast(weights), label)
+    return join_lookup(df, weights, [label])
 
 
 def train_gbt(

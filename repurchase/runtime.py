@@ -1,4 +1,4 @@
-"""Where intermediate results go so that they outlive a lost executor."""
+"""Where intermediate results go so that they outlive a lost executor, and joins with small tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Tables up to this many rows are sent to every executor.
+MAX_LOOKUP_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def join_lookup(
+    df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS
+) -> DataFrame:
+    """Join a table that is expected to be small: broadcast once its rows are counted, else an ordinary join."""
+    rows = lookup.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df.join(lookup, on, how)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, lookup.schema)), on, how)

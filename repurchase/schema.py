@@ -52,6 +52,8 @@ FLAG_COLUMNS = (
     "order_detail_status",
 )
 TIME_COLUMNS = ("order_pay_time", "goods_list_time", "goods_delist_time")
+# Partition column of stored order lines: pay month as yyyymm.
+MONTH_COLUMN = "pay_month"
 # Columns that may hold nulls.
 NULLABLE_COLUMNS = (
     "customer_province",

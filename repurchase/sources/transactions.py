@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repurchase.schema import ORDER_LINE_COLUMNS, order_line_file_schema
+from repurchase.functions import expressions as X
+from repurchase.schema import MONTH_COLUMN, ORDER_LINE_COLUMNS, order_line_file_schema
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -22,9 +23,19 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
 def conform(raw: DataFrame) -> DataFrame:
     """Order-line columns in file order with their declared types, NaN as null."""
     present = dict(raw.dtypes)
-    return raw.select(
-        *[_typed(F.col(name), present[name], kind).alias(name) for name, kind in ORDER_LINE_COLUMNS if name in present]
-    )
+    columns = [
+        _typed(F.col(name), present[name], kind).alias(name) for name, kind in ORDER_LINE_COLUMNS if name in present
+    ]
+    return raw.select(*columns, *[c for c in raw.columns if c == MONTH_COLUMN])
+
+
+def save_transactions(tx: DataFrame, path: str) -> None:
+    """Store order lines by pay month, so that cutoffs read only the months they need.
+
+    Rebalancing gives files of even size: small months share a task, large ones are split.
+    """
+    by_month = tx.withColumn(MONTH_COLUMN, X.month_number("order_pay_time")).hint("rebalance", MONTH_COLUMN)
+    by_month.write.mode("error").partitionBy(MONTH_COLUMN).parquet(path)
 
 
 def _typed(c: Column, found: str, wanted: str) -> Column:
