@@ -124,7 +124,7 @@ def _(spark, sf_dir):
 @query(
     "m10_histogram",
     f"{SCORED}, ends as (select min(score) as low, max(score) as high from scored), placed as (select"
-    " least(floor((score - low) / (high - low) * 50), 49)::int as bin from scored, ends)"
+    " (select count(*) from range(1, 50) as e(b) where score >= low + b * ((high - low) / 50)) as bin from scored, ends)"
     " select b::int as bin, round(low + b * ((high - low) / 50), 6) as low, round(low + (b + 1) * ((high - low) / 50), 6)"
     " as high, (select count(*) from placed where bin = b) as count from ends, range(50) as r(b)",
 )

@@ -49,10 +49,18 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
         # A constant column gets a range of width 1 around its value.
         low, high = low - 0.5, high + 0.5
     low, high = F.lit(low).cast("double"), F.lit(high).cast("double")
-    placed = df.select(equal_width_bin(F.col(column), low, high, bins).alias("bin")).where(F.col("bin").isNotNull())
+    width = (high - low) / F.lit(bins)
+    value, at = F.col(column), F.col("_at")
+    # Rounding can put a value next to an edge into the neighbouring bin; the edges decide.
+    settled = (
+        F.when((at > 0) & (value < low + at * width), at - 1)
+        .when((at < bins - 1) & (value >= low + (at + 1) * width), at + 1)
+        .otherwise(at)
+    )
+    placed = df.where(value.isNotNull()).withColumn("_at", equal_width_bin(value, low, high, bins))
+    placed = placed.select(settled.alias("bin"))
     counted = placed.groupBy("bin").agg(F.count("*").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (high - low) / F.lit(bins)
     return every.join(counted, "bin", "left").select(
         "bin",
         (low + F.col("bin") * width).alias("low"),
