@@ -130,24 +130,27 @@ def present(c: Column, name: str) -> Column:
 # --- sums --------------------------------------------------------------------------------------
 
 
+def _sum(c: str | Column, decimals: int | None) -> Column:
+    if decimals is None:
+        return F.sum(column(c).cast("double"))
+    return F.sum(F.rint(column(c) * float(10**decimals)).cast("long")) / float(10**decimals)
+
+
 def total(c: str | Column, decimals: int | None = None) -> Column:
     """Aggregate: sum, 0 when there is nothing to add.
 
     With ``decimals`` the addition runs on whole units of 10**-decimals, so that the result does not
     depend on how rows were partitioned.
     """
-    if decimals is None:
-        added = F.sum(column(c).cast("double"))
-    else:
-        added = F.sum(F.rint(column(c) * float(10**decimals)).cast("long")) / float(10**decimals)
-    return F.coalesce(added, F.lit(0.0))
+    return F.coalesce(_sum(c, decimals), F.lit(0.0))
 
 
 def mean(c: str | Column, decimals: int | None = None) -> Column:
-    """Aggregate: mean of the non-null values, null when there are none."""
-    if decimals is None:
-        return F.avg(column(c))
-    return F.try_divide(total(c, decimals), F.count(column(c)))
+    """Aggregate: mean of the non-null values, null when there are none.
+
+    Written as sum over count, so that it shares its sum with :func:`total` of the same column.
+    """
+    return F.try_divide(_sum(c, decimals), F.count(column(c)))
 
 
 def spread(c: str, decimals: int | None = None) -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ def with_holdout(
 ) -> DataFrame:
     """Flag a random ``share`` of each class; ``key`` must be unique.
 
-    The exact form takes precisely round(share · n) rows of every class, however large a class is. The
-    other form compares the hash with a bound, needs no shuffle, and is only close to the share.
+    The exact form takes precisely round(share · n) rows of every class, however large a class is: key
+    and hash alone are ranked to find the last row taken of each class, and the rows themselves are
+    flagged where they are. The other form compares the hash with a bound, and is only close to the share.
     """
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
     if not exact:
@@ -28,11 +31,20 @@ def with_holdout(
         drawn = F.conv(F.substring("_hash", 1, 13), 16, 10).cast("double") / float(16**13)
         return hashed.withColumn(name, drawn < share).drop("_hash")
     labelled = hashed.where(F.col(label).isNotNull())
-    placed = running_totals(labelled, {"_at": F.lit(1)}, [F.col("_hash"), F.col(key)], [label])
+    ranked = running_totals(
+        labelled.select(label, "_hash", key), {"_at": F.lit(1)}, [F.col("_hash"), F.col(key)], [label]
+    )
     # One row per class.
-    sizes = placed.groupBy(label).agg(F.count("*").alias("_size"))
-    taken = F.col("_at") <= F.floor(F.col("_size") * F.lit(share) + 0.5)
-    return join_lookup(placed, sizes, [label]).withColumn(name, taken).drop("_hash", "_at", "_size")
+    sizes = ranked.groupBy(label).agg(F.count("*").alias("_size"))
+    last = F.col("_at") == F.floor(F.col("_size") * F.lit(share) + 0.5)
+    cuts = join_lookup(ranked, sizes, [label]).where(last)
+    cuts = cuts.select(label, F.col("_hash").alias("_cut_hash"), F.col(key).alias("_cut_key"))
+    taken = (F.col("_hash") < F.col("_cut_hash")) | (
+        (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
+    )
+    # A class of which nothing is taken has no cut.
+    flagged = join_lookup(labelled, cuts, [label], "left").withColumn(name, F.coalesce(taken, F.lit(False)))
+    return flagged.drop("_hash", "_cut_hash", "_cut_key")
 
 
 def stratified_split(
@@ -44,8 +56,12 @@ def stratified_split(
 
 
 def ordered_split(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """(first ``share`` of the rows in order of the unique ``key``, the rest)."""
-    placed = with_position(df, [F.col(key)], "_position")
-    size = placed.agg(F.count("*").alias("n")).scalar()
-    early = F.col("_position") <= F.floor(size * F.lit(share))
-    return placed.where(early).drop("_position"), placed.where(~early).drop("_position")
+    """(first ``share`` of the rows in order of the unique ``key``, the rest).
+
+    Only keys are ranked; the rows are then filtered by the last key of the first part.
+    """
+    placed = with_position(df.select(key), [F.col(key)], "_position")
+    taken = math.floor(placed.count() * share)
+    last = placed.where(F.col("_position") == taken).first()
+    early = F.col(key) <= F.lit(last[key]) if last is not None else F.lit(False)
+    return df.where(early), df.where(~early)
