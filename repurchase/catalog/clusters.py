@@ -120,7 +120,11 @@ def _(spark, sf_dir):
     return K.kmeans_predict(rows, centroids, labels).select("vec_id", "label", "prediction")
 
 
-@query("x9_distance", f"{POINTS}, {START} select vec_id, round(list_distance(p, (select center from c0 where cluster = 0)), 6) as distance from points")
+@query(
+    "x9_distance",
+    f"{POINTS}, {START} select vec_id, round(list_distance(p, (select center from c0 where cluster = 0)), 6) as distance"
+    " from points",
+)
 def _(spark, sf_dir):
     rows = points(spark, sf_dir)
     # One center.
@@ -146,7 +150,10 @@ def _(spark, sf_dir):
     return projected
 
 
-@query("s6_centroids", f"{FIT}, {LABELS} select cluster, label, round(list_sum(center), 6) as total from {LAST_C} join labels using (cluster)")
+@query(
+    "s6_centroids",
+    f"{FIT}, {LABELS} select cluster, label, round(list_sum(center), 6) as total from {LAST_C} join labels using (cluster)",
+)
 def _(spark, sf_dir):
     centroids = fitted(spark, sf_dir)
     labels = K.cluster_labels(K.assign(points(spark, sf_dir), centroids), centroids)

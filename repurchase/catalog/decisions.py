@@ -42,7 +42,11 @@ def _(spark, sf_dir):
     return scored(spark, sf_dir)
 
 
-@query("j1_attach", f"{SCORED} select c_custkey as customer_id, coalesce(score, 0.0) as score from customer left join scored on c_custkey = customer_id")
+@query(
+    "j1_attach",
+    f"{SCORED} select c_custkey as customer_id, coalesce(score, 0.0) as score from customer left join scored on c_custkey ="
+    " customer_id",
+)
 def _(spark, sf_dir):
     return D.attach_scores(template(spark, sf_dir), scored(spark, sf_dir))
 

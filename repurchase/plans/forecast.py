@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repurchase.operators.clusters import (
-    as_point, assign, cluster_labels, kmeans_fit, kmeans_predict,
-)
+from repurchase.functions import expressions as X
+from repurchase.functions.windows import DayWindow
+from repurchase.operators.clusters import as_point, assign, cluster_labels, kmeans_fit, kmeans_predict
 from repurchase.operators.decisions import attach_scores, by_threshold, label_top_n
+from repurchase.operators.labels import horizon_label
 from repurchase.operators.metrics import accuracy, balanced_accuracy, roc_auc
 from repurchase.operators.rolling import daily_sums
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.splits import ordered_split, stratified_split
 from repurchase.operators.training import fit_evaluate, fit_predict
-from repurchase.functions import expressions as X
-from repurchase.functions.windows import DayWindow
-from repurchase.operators.labels import horizon_label
-from repurchase.plans.dataset import build_dataset
 from repurchase.schema import DEPTHWISE, LEAFWISE, GbtParams
 
 KEYS = ("customer_id", "label")
@@ -98,8 +95,3 @@ def repeat_buyer_ranking(tx: DataFrame, start, until, window: int, horizon: int,
     known = ranked.where(F.col("_first_day") < X.as_date(until)).drop("_first_day")
     return label_top_n(known, "score", n, "customer_id", name="chosen")
 
-
-__all__ = [
-    "build_dataset", "cluster_check", "feature_columns", "ordered_check", "ranked_forecast",
-    "repeat_buyer_ranking", "stratified_check", "threshold_forecast",
-]

@@ -41,6 +41,9 @@ def _canonical(names, rows):
 def compare(spark, con, sf_dir: str, entry) -> str | None:
     """None if equal, else what differs."""
     df = entry.run(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return "the plan pairs all rows"
     got, got_names = _canonical(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(entry.sql)
     want, want_names = _canonical([d[0] for d in result.description], result.fetchall())

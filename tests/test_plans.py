@@ -82,13 +82,6 @@ def test_no_window_over_everything(spark, name):
         assert ", [], [" not in window and not window.endswith(", []")
 
 
-def test_no_cartesian_product_anywhere(spark):
-    # Training and fitting run jobs while they build their plan; all others are only planned here.
-    for name, entry in load().items():
-        if not name.startswith(("t3", "t4", "t5", "t6", "k", "s")):
-            assert "CartesianProduct" not in plan(entry.run(spark, "/root/testdata/sf0.001")), name
-
-
 def test_customers_are_read_only_when_needed(spark):
     assert "customer" not in plan(order_lines(spark, SF_DIR, "customer_id", "order_pay_time")).replace("customer_id", "")
     assert "lineitem" not in plan(table(spark, SF_DIR, "orders"))
