@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repurchase.llm import mixing, sharding, warc
+from repurchase.llm import mixing, pii, quality, sharding, warc
 
 
 def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.quality_verdicts(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixing.taken(mixed).drop("copies")
@@ -21,10 +27,23 @@ def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    counts = [
+        F.size(F.filter("base", pii.of_kind(i))).cast("long").alias(f"n_{kind}")
+        for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES = {
     "op1_label_propagation_shards": op1_label_propagation_shards,
+    "op2_risk_controlled_rules": op2_risk_controlled_rules,
     "op3_golden_ratio_mix": op3_golden_ratio_mix,
     "op4_zstd_warc": op4_zstd_warc,
+    "op8_weak_supervision_pii": op8_weak_supervision_pii,
 }
 
 SQL = {
