@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repurchase.llm import mixing, pii, quality, sharding, warc
+from repurchase.llm import bpe, mixing, pii, quality, sharding, warc
 
 
 def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", digests=True)
+
+
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     counts = [
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
     "op3_golden_ratio_mix": op3_golden_ratio_mix,
     "op4_zstd_warc": op4_zstd_warc,
+    "op7_bpe_tree": op7_bpe_tree,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
 }
 
