@@ -265,7 +265,7 @@ def encode_documents(
                     }
                 )
 
-    def joined(key, table: pa.Table) -> pa.Table:
+    def joined(key, table):
         own = encoder(path, leaf)
         table = table.sort_by("_at")
         text = "".join(table.column("_text").to_pylist())
