@@ -197,20 +197,28 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _outputs(texts: list[list[tuple]], digests: bool) -> list[pa.Array]:
+def _outputs(texts: list[list[tuple]], outputs: str) -> list[pa.Array]:
     counts = pa.array([sum([e[2] for e in x]) for x in texts], pa.int64())
-    if digests:
+    if outputs == "decoded":
+        return [counts, pa.array([decoded(x) for x in texts], pa.string())]
+    if outputs == "digests":
         return [counts, pa.array([_sha(ids_of(x)) for x in texts], pa.string()), pa.array([_sha(decoded(x)) for x in texts], pa.string())]
     ids = [np.array(ids_of(x).split(), dtype=np.int32) for x in texts]
     ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
     flat = np.concatenate(ids) if ids else np.array([], dtype=np.int32)
-    return [counts, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([decoded(x) for x in texts], pa.string())]
+    return [counts, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
 
 
-def _fields(digests: bool) -> list[T.StructField]:
-    if digests:
-        return [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+#: what encode_documents can add to n_tokens
+OUTPUTS = {
+    "ids": [T.StructField("ids", T.ArrayType(T.IntegerType()))],
+    "decoded": [T.StructField("decoded", T.StringType())],
+    "digests": [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())],
+}
+
+
+def _fields(outputs: str) -> list[T.StructField]:
+    return [T.StructField("n_tokens", T.LongType()), *OUTPUTS[outputs]]
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -219,15 +227,15 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 
 
 def encode_documents(
-    documents: DataFrame, *keep: str, path: str | None = None, digests: bool = False, leaf: int = LEAF_CHARS,
+    documents: DataFrame, *keep: str, path: str | None = None, outputs: str = "ids", leaf: int = LEAF_CHARS,
     spread: int = SPREAD_CHARS,
 ) -> DataFrame:
-    """The kept columns, n_tokens, and ids and decoded text (or their SHA-256 digests) of every row."""
+    """The kept columns and n_tokens of every row, with its ids, its decoded text, or the SHA-256 digests of both."""
     path = path or default_path()
     keep = keep or ("doc_id",)
     rows = documents.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text"]
-    out = T.StructType(kept + _fields(digests))
+    out = T.StructType(kept + _fields(outputs))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, leaf)
@@ -235,7 +243,7 @@ def encode_documents(
             for batch in _slices(whole):
                 texts = [own.encode(t) for t in batch.column("_text").to_pylist()]
                 columns = [batch.column(f.name) for f in kept]
-                yield pa.RecordBatch.from_arrays(columns + _outputs(texts, digests), names=out.names)
+                yield pa.RecordBatch.from_arrays(columns + _outputs(texts, outputs), names=out.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -281,8 +289,8 @@ def encode_documents(
             odd = len(pieces) % 2
             bounds = bounds[: len(pieces) - odd : 2] + ([bounds[-2]] if odd else []) + [bounds[-1]]
             pieces = up + (pieces[-1:] if odd else [])
-        columns = [pa.array([key[0].as_py()], pa.int64())] + _outputs([pieces[0].entries], digests)
-        return pa.Table.from_arrays(columns, names=["_row"] + [f.name for f in _fields(digests)])
+        columns = [pa.array([key[0].as_py()], pa.int64())] + _outputs([pieces[0].entries], outputs)
+        return pa.Table.from_arrays(columns, names=["_row"] + [f.name for f in _fields(outputs)])
 
     is_long = F.length("_text") > spread
     long = rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
@@ -290,6 +298,6 @@ def encode_documents(
     pieces = pieces.repartition("_row", "_at").mapInArrow(
         leaves, "_row long, _at int, _text string, starts array<int>, ends array<int>, ids array<string>, tokens array<string>"
     )
-    whole = pieces.groupBy("_row").applyInArrow(joined, T.StructType([T.StructField("_row", T.LongType())] + _fields(digests)))
+    whole = pieces.groupBy("_row").applyInArrow(joined, T.StructType([T.StructField("_row", T.LongType())] + _fields(outputs)))
     done = long.drop("_text").join(whole, "_row").drop("_row").select(*out.names)
     return rows.where(~is_long).mapInArrow(short, out).unionByName(done)

@@ -130,11 +130,11 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
 
 def mix(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 256,
-    seed: int = 17, bucket_digits: int = 2,
+    seed: int = 17, bucket_digits: int = 2, carry: tuple[str, ...] = (),
 ) -> Mix:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = stored(
-        documents.select("doc_id", "source", word_count().alias("size"))
+        documents.select("doc_id", "source", *carry, word_count().alias("size"))
         .withColumn("order", F.md5(F.concat(name, F.lit(f":{seed}"))))
         .withColumn("bucket", F.substring("order", 1, bucket_digits))
     )
@@ -158,9 +158,9 @@ def mix(
     return Mix(placed, sources, schedule(sources, block_words), pieces)
 
 
-def taken(mixed: Mix, block_words: int = 256) -> DataFrame:
+def taken(mixed: Mix, block_words: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies (how often the first word of the document is taken)."""
-    keys = ["source_id", "start", "doc_id", "size", "source_size", "target"]
+    keys = ["source_id", "start", "doc_id", "size", "source_size", "target", *carry]
     slots = mixed.schedule.select("source_id", "block", "take")
     words = F.greatest(F.least(F.col("last"), F.coalesce("take", F.lit(0))) - F.col("first"), F.lit(0))
     begins = (F.col("block") * block_words + F.col("first") == F.col("start")) & (F.col("take") > F.col("first"))
@@ -174,3 +174,11 @@ def taken(mixed: Mix, block_words: int = 256) -> DataFrame:
     )
     empty = mixed.documents.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(1).cast("long").alias("copies"))
     return sums.unionByName(empty).drop("source_id", "start")
+
+
+def mixed_documents(documents: DataFrame) -> DataFrame:
+    """Every document as often as the mix takes its first word (up to three times, or not at all); empty ones once."""
+    rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    copies = taken(mix(rows, carry=("_row",)), carry=("_row",)).select("_row", "copies").where("copies > 0")
+    repeated = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*documents.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repurchase.llm import bpe, mixing, pii, quality, sharding, warc
+from repurchase.llm import ann, bpe, mixing, neardup, pii, quality, sharding, substrings, toxicity, warc
 
 
 def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,20 @@ def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # Rows with this remainder are held out: nothing is learned from their labels.
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    scored = toxicity.score(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out, "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", digests=True)
+    return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", outputs="digests")
 
 
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,16 +54,36 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_label_propagation_shards": op1_label_propagation_shards,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
     "op3_golden_ratio_mix": op3_golden_ratio_mix,
     "op4_zstd_warc": op4_zstd_warc,
+    "op5_run_length_index": op5_run_length_index,
+    "op6_boosted_toxicity": op6_boosted_toxicity,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
+    "op9_bottom_k_near_duplicates": op9_bottom_k_near_duplicates,
+    "op10_learned_partitions": op10_learned_partitions,
 }
 
 SQL = {
+    "op4_zstd_warc": """
+with r as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),
+f as (select digest as d, min(page_id) as first from r where n >= 100 group by digest)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when first is not null and page_id is distinct from first then first end as refers_to
+from r left join f on digest = d and n >= 100
+""",
     "op3_golden_ratio_mix": r"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
