@@ -111,11 +111,14 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int
     return labels
 
 
-def train_classifier(x: np.ndarray, labels: np.ndarray, parts: int, rounds: int = 200) -> np.ndarray:
-    """Weights of a softmax regression (the last row is the intercept), by full-batch accelerated descent."""
+def train_classifier(x: np.ndarray, labels: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 300) -> np.ndarray:
+    """Weights of a softmax regression (the last row is the intercept), by full-batch accelerated descent.
+
+    A row's goal is the share of its neighbours in each part, so probabilities tell where neighbours are to be found.
+    """
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros((a.shape[1], parts))
-    goal = np.eye(parts)[labels]
+    goal = np.eye(parts)[labels[graph]].mean(axis=1)
     speed = w.copy()
     rate = 4.0 / max(np.linalg.norm(a, 2) ** 2 / len(a), 1e-9)
     for i in range(rounds):
@@ -147,8 +150,8 @@ def fit(rows: DataFrame, parts: int = PARTITIONS, size: int = SAMPLE, neighbours
     if parts == 1:
         return np.zeros((x.shape[1] + 1, 1))
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    labels = balanced_partition(x, neighbour_graph(x, neighbours), parts)
-    return train_classifier(x, labels, parts)
+    graph = neighbour_graph(x, neighbours)
+    return train_classifier(x, balanced_partition(x, graph, parts), graph, parts)
 
 
 def route(rows: DataFrame, weights: np.ndarray, mass: float | None) -> DataFrame:

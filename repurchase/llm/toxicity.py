@@ -1,10 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Labelled rows are dealt into three parts by a hash of their id. The first gives the lexicon: words, and beginnings of
+Labelled rows are dealt into three parts by a hash of their id, half and two quarters. The first gives the lexicon: words, and beginnings of
 words, that are much more frequent in toxic documents. The second fits the trees on dense features of whole texts:
 lexicon densities, closeness of second-person words to lexicon words, capitals, punctuation and obfuscation. The third
-fits the isotonic curve that turns the trees' output into a probability. Each part is bounded by a parameter; a part
-with more rows is thinned by the hash, alike at every size. Everything else reads all documents.
+fits the isotonic curve that turns the trees' output into a probability. Their number is bounded by a
+parameter; more rows are thinned by the hash. Everything else reads all documents.
 
 Defined results: a null or empty text has all features 0 and is scored like any other; without labels of both kinds
 in a part, every score is the share of toxic rows among the labelled ones (0 without any); of a doc_id with several
@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from repurchase.llm.storage import stored
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 40_000
 LEXICON_SIZE = 400
-MIN_SUPPORT = 5
+MIN_SUPPORT = 4
 MIN_LOG_ODDS = 2.0
 STEM_LENGTHS = (4, 5)
 ROUNDS = 20
@@ -45,13 +45,13 @@ CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 
 
 def labelled(documents: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    """text, label, part (0, 1, 2) of the rows that may be learned from, at most MAX_LABELLED in expectation a part."""
+    """text, label, part (0, 1, 2) of the rows that may be learned from, about MAX_LABELLED at most."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
     known = known.where(train)
     n = known.count()
-    share = min(1.0, 3 * MAX_LABELLED / max(n, 1))
+    share = min(1.0, MAX_LABELLED / max(n, 1))
     kept = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)).cast("int")
+    part = F.greatest(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) - 1, F.lit(0)).cast("int")
     # The thinned labels are bounded by MAX_LABELLED, so they go to every task and no text is moved.
     rows = documents.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
     return stored(rows.select("text", "label", part.alias("part")), "labelled")
