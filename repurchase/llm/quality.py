@@ -208,7 +208,7 @@ def quality_verdicts(documents: DataFrame, labels: DataFrame, risk: float = RISK
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that pass, with all their columns; names beginning with an underscore are not allowed."""
-    columns = documents.columns
-    everything = stored(rates(measure(documents, *columns)), "measures")
-    return judge(everything, choose_cutoffs(everything, labels, risk, delta)).where("kept").select(*columns)
+    """The documents that pass, with all their columns."""
+    packed = documents.select(F.struct(*documents.columns).alias("_document"), "doc_id", "lang", "text")
+    rated = stored(rates(measure(packed, "_document", "doc_id", "lang")), "measures")
+    return judge(rated, choose_cutoffs(rated, labels, risk, delta)).where("kept").select("_document.*")
