@@ -7,14 +7,15 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repurchase.schema import RollingSpec, SnapshotSpec
+from repurchase.schema import NULLABLE_COLUMNS, RollingSpec, SnapshotSpec
 
 # Snapshot features: cutoff, origin of day counts, and a tie-break that makes the line order total.
 UNTIL = "2001-05-31 23:59:59"
 ORDER = ("order_pay_time", "order_id", "line_number", "goods_id", "supplier_id", "order_detail_goods_num")
-SNAPSHOT = SnapshotSpec(epoch=date(1995, 1, 1), order=ORDER, money_decimals=4)
+SNAPSHOT = SnapshotSpec(epoch=date(1995, 1, 1), order=ORDER, nullable=NULLABLE_COLUMNS, money_decimals=4)
 SNAPSHOT_RATIO = SnapshotSpec(
-    epoch=date(1995, 1, 1), order=ORDER, money_decimals=4, goods_num=False, discount_ratio=True
+    epoch=date(1995, 1, 1), order=ORDER, nullable=NULLABLE_COLUMNS, money_decimals=4, goods_num=False,
+    discount_ratio=True,
 )
 
 # Rolling features over order lines with the standard windows.

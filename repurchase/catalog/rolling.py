@@ -55,12 +55,15 @@ class WindowSql:
         return f"coalesce({self.over('sum', weighted)}, 0.0::double)"
 
     def std(self) -> str:
-        squares = f"coalesce({self.over('sum', f'{self.value} * {self.value}')}, 0.0::double)"
-        return f"sqrt(greatest({squares} - {self.sum()} * {self.sum()} / {self.length}, 0.0::double) / {self.length - 1})"
+        return f"list_aggregate({self._days()}, 'stddev_samp')"
 
-    def median(self) -> str:
+    def _days(self) -> str:
+        """All days of the window, those without a row as 0."""
         seen = f"coalesce({self.over('list', self.value)}, [])"
-        days = f"list_sort(list_concat({seen}, list_resize([]::double[], {self.length} - len({seen}), 0.0::double)))"
+        return f"list_concat({seen}, list_resize([]::double[], {self.length} - len({seen}), 0.0::double))"
+
+    def median(self) -> str:
+        days = f"list_sort({self._days()})"
         return f"(list_extract({days}, {(self.length + 1) // 2}) + list_extract({days}, {self.length // 2 + 1})) / 2"
 
     def diff_mean(self) -> str:

@@ -133,7 +133,8 @@ def present(c: Column, name: str) -> Column:
 def _sum(c: str | Column, decimals: int | None) -> Column:
     if decimals is None:
         return F.sum(column(c).cast("double"))
-    return F.sum(F.rint(column(c) * float(10**decimals)).cast("long")) / float(10**decimals)
+    # Decimals, as a sum over very many rows leaves the range of long.
+    return F.sum(F.rint(column(c) * float(10**decimals)).cast("decimal(20,0)")).cast("double") / float(10**decimals)
 
 
 def total(c: str | Column, decimals: int | None = None) -> Column:

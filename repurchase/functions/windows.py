@@ -48,10 +48,14 @@ class DayWindow:
         return F.coalesce(F.sum(F.when(self._inside, self.value * weight)), F.lit(0.0))
 
     def std(self) -> Column:
-        """Sample standard deviation over all days of the window."""
-        squares = F.coalesce(F.sum(F.when(self._inside, self.value * self.value)), F.lit(0.0))
-        spread = squares - self.sum() * self.sum() / F.lit(self.length)
-        return F.sqrt(F.greatest(spread, F.lit(0.0)) / F.lit(self.length - 1))
+        """Sample standard deviation over all days of the window.
+
+        The days seen and the empty ones are combined as two samples, so large values lose no digits.
+        """
+        n, mean = F.count(self._seen), F.coalesce(F.avg(self._seen), F.lit(0.0))
+        inner = F.coalesce(F.var_pop(self._seen), F.lit(0.0)) * n
+        between = mean * mean * n * (F.lit(self.length) - n) / F.lit(self.length)
+        return F.sqrt((inner + between) / F.lit(self.length - 1))
 
     def median(self) -> Column:
         """Median over all days; the collected array holds at most one value per day of the window."""

@@ -65,15 +65,22 @@ def fill_mean(df: DataFrame, columns: Sequence[str] | None = None, decimals: int
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls replaced by the most frequent value, the smallest one on a tie.
 
-    Values are counted in a grouped aggregation first, so no task holds all values of a column.
+    One scan counts the values of all columns, so no task holds all values of a column; the driver gets
+    one value per column.
     """
-    modes = {}
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        most = counts.orderBy(F.desc("_n"), c).first()
-        if most is not None:
-            modes[c] = most[c]
-    return fill_const(df, modes)
+    columns = list(columns)
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def cell(at: int, c: str) -> Column:
+        number = F.col(c).cast("double") if isinstance(kinds[c], T.NumericType) else F.lit(None).cast("double")
+        return F.struct(F.lit(at).alias("at"), F.col(c).cast("string").alias("text"), number.alias("number"))
+
+    if not columns:
+        return df
+    cells = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).where("text is not null")
+    counts = cells.groupBy("at", "text", "number").agg(F.count("*").alias("n"))
+    most = counts.groupBy("at").agg(F.min_by("text", F.struct(-F.col("n"), "number", "text")).alias("text"))
+    return fill_const(df, {columns[r["at"]]: F.lit(r["text"]).cast(kinds[columns[r["at"]]]) for r in most.collect()})
 
 
 def clean_inf(df: DataFrame, columns: Sequence[str], fill: float | None = 0.0) -> DataFrame:
@@ -84,6 +91,8 @@ def clean_inf(df: DataFrame, columns: Sequence[str], fill: float | None = 0.0) -
     return df.withColumns(finite)
 
 
+# Largest finite value of a float.
+FLOAT_MAX = 3.4028234663852886e38
 # Whole-number types with the range they hold, narrowest first.
 _WHOLE_TYPES = (("byte", 2**7), ("short", 2**15), ("int", 2**31), ("long", 2**63))
 
@@ -91,9 +100,11 @@ _WHOLE_TYPES = (("byte", 2**7), ("short", 2**15), ("int", 2**31), ("long", 2**63
 def _target_type(low: Column, high: Column, whole: Column) -> Column:
     choice = F.lit("double")
     for name, bound in reversed(_WHOLE_TYPES):
-        fits = whole & (low >= F.lit(float(-bound))) & (high <= F.lit(float(bound - 1)))
+        # As doubles: the bound itself is exact, the number before it may not be.
+        fits = whole & (low >= F.lit(float(-bound))) & (high < F.lit(float(bound)))
         choice = F.when(fits, F.lit(name)).otherwise(choice)
-    return F.when(~whole, F.lit("float")).otherwise(choice)
+    small = (low >= F.lit(-FLOAT_MAX)) & (high <= F.lit(FLOAT_MAX))
+    return F.when(~whole & small, F.lit("float")).when(~whole, F.lit("double")).otherwise(choice)
 
 
 def range_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -17,11 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repurchase.operators.splits import shuffle_key
-from repurchase.runtime import join_lookup
 
 UNKNOWN = -1
-# The centers travel with every task; a model beyond this many numbers (128 MB) is refused.
-MAX_MODEL_VALUES = 16_000_000
 
 
 def as_point(columns: Sequence[str]) -> Column:
@@ -39,14 +36,11 @@ def init_centroids(df: DataFrame, k: int, seed: int, key: str, features: str = "
 
 
 def _centers(centroids: DataFrame) -> np.ndarray:
-    """The k centers as a matrix, row i for cluster i."""
+    """The k centers as a matrix, row i for cluster i; k is chosen by the caller."""
     rows = centroids.orderBy("cluster").collect()
     if [r["cluster"] for r in rows] != list(range(len(rows))):
         raise ValueError("clusters must be numbered 0 … k-1")
-    centers = np.array([r["center"] for r in rows], dtype=np.float64)
-    if centers.size > MAX_MODEL_VALUES:
-        raise ValueError(f"{centers.size} center values exceed {MAX_MODEL_VALUES}")
-    return centers
+    return np.array([r["center"] for r in rows], dtype=np.float64)
 
 
 def _table(spark: SparkSession, centers: np.ndarray) -> DataFrame:
@@ -139,7 +133,7 @@ def kmeans_predict(
     """Add the label of the nearest cluster, -1 where it has none."""
     # One row per cluster.
     named = labels.select("cluster", F.col("label").alias(name))
-    joined = join_lookup(assign(df, centroids, features), named, ["cluster"], "left")
+    joined = assign(df, centroids, features).join(named, "cluster", "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(UNKNOWN))).drop("cluster")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.operators.ranking import running_totals
@@ -10,15 +10,23 @@ from repurchase.operators.scaling import value_ranges
 from repurchase.operators.selection import equal_width_bin
 
 
+def _right(label: str, decision: str) -> Column:
+    return F.coalesce(F.col(label) == F.col(decision), F.lit(False)).cast("double")
+
+
 def balanced_accuracy(df: DataFrame, label: str, decision: str) -> DataFrame:
-    """Mean over the classes of the label of the share decided correctly."""
-    right = F.avg((F.col(label) == F.col(decision)).cast("double"))
-    per_class = df.groupBy(label).agg(right.alias("recall"))
+    """Mean over the classes of the label of the share decided correctly.
+
+    A row without decision counts as wrong; rows without label are not judged.
+    """
+    right = F.avg(_right(label, decision))
+    per_class = df.where(F.col(label).isNotNull()).groupBy(label).agg(right.alias("recall"))
     return per_class.agg(F.avg("recall").alias("balanced_accuracy"))
 
 
 def accuracy(df: DataFrame, label: str, decision: str) -> DataFrame:
-    return df.agg(F.avg((F.col(label) == F.col(decision)).cast("double")).alias("accuracy"))
+    """Share decided correctly; missing decisions and labels as in :func:`balanced_accuracy`."""
+    return df.where(F.col(label).isNotNull()).agg(F.avg(_right(label, decision)).alias("accuracy"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -43,8 +51,13 @@ def log_loss(df: DataFrame, label: str, score: str, eps: float = 1e-15) -> DataF
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Counts in equal-width bins between minimum and maximum, empty bins included."""
+    """Counts in equal-width bins between minimum and maximum, empty bins included.
+
+    A column without values gets empty bins between 0 and 1.
+    """
     low, high = value_ranges(df, [column])[column]
+    if low is None:
+        low, high = 0.0, 1.0
     if low == high:
         # A constant column gets a range of width 1 around its value.
         low, high = low - 0.5, high + 0.5

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repurchase.runtime import checkpointed, join_lookup
+from repurchase.runtime import checkpointed, join_null_safe
 
 _SLOT, _SLICE, _BEFORE = "_slot", "_slice", "_before"
 # monotonically_increasing_id keeps the row number inside the partition in its lower 33 bits.
@@ -28,7 +28,7 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_SLICE, F.coalesce(F.sum(_BEFORE).over(earlier), F.lit(0)).alias(_BEFORE))
     inside = F.col(_SLOT).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    placed = join_lookup(ordered, offsets, [_SLICE]).withColumn(name, F.col(_BEFORE) + inside + 1)
+    placed = ordered.join(offsets, _SLICE).withColumn(name, F.col(_BEFORE) + inside + 1)
     return placed.drop(_SLOT, _SLICE, _BEFORE)
 
 
@@ -38,7 +38,7 @@ def running_totals(
     """Add running totals (current row included) in a total order, separately per ``within`` group.
 
     ``within`` is for a handful of groups such as classes or table columns. A group of any size is
-    spread over many partitions.
+    spread over many partitions. Null is a group like any other.
     """
     within = list(within)
     valued = df.withColumns(totals)
@@ -51,7 +51,7 @@ def running_totals(
         *within, _SLICE, *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"{_BEFORE}_{t}") for t in totals]
     )
     inside = Window.partitionBy(*within, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = join_lookup(sliced, offsets, [*within, _SLICE])
+    summed = join_null_safe(sliced, offsets, [*within, _SLICE])
     running = {t: F.col(f"{_BEFORE}_{t}") + F.sum(t).over(inside) for t in totals}
     return summed.withColumns(running).drop(_SLICE, *[f"{_BEFORE}_{t}" for t in totals])
 
@@ -65,8 +65,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     # Equal values are merged before the shuffle, so a frequent value costs no more than a rare one.
     counted = cells.where(F.col("value").isNotNull()).groupBy("at", "value").agg(F.count("*").alias("n"))
     upto = running_totals(counted, {"upto": F.col("n")}, [F.col("value")], ["at"])
-    # One row per column.
-    placed = join_lookup(upto, upto.groupBy("at").agg(F.sum("n").alias("size")), ["at"])
+    placed = upto.join(upto.groupBy("at").agg(F.sum("n").alias("size")), "at")
 
     def value_at(position: Column) -> Column:
         covers = (position >= F.col("upto") - F.col("n")) & (position < F.col("upto"))

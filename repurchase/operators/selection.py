@@ -78,10 +78,17 @@ def mutual_info(
         low, high = (_by_position([ranges[c][end] for c in columns]) for end in (0, 1))
         chosen = equal_width_bin(F.col("value"), low, high, bins)
     elif method == "quantile":
-        cuts = df.approxQuantile(list(columns), [i / bins for i in range(1, bins)], error)
+        # Cuts of the same cells that are scored; a feature without values is one bin.
+        rows = df.where(F.col(label).isNotNull())
+        means = column_means(rows, columns)
+        known = [c for c in columns if means[c] is not None]
+        filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in known])
+        found = filled.approxQuantile(known, [i / bins for i in range(1, bins)], error) if known else []
+        cuts = dict(zip(known, found))
         chosen = F.lit(0)
         for i in range(bins - 1):
-            chosen = chosen + (F.col("value") > _by_position([c[i] for c in cuts])).cast("int")
+            ends = _by_position([cuts[c][i] if cuts.get(c) else None for c in columns])
+            chosen = chosen + F.coalesce((F.col("value") > ends).cast("int"), F.lit(0))
     else:
         raise ValueError(f"method must be 'width' or 'quantile', not {method!r}")
     joint = cells.groupBy("at", chosen.alias("bin"), "class").agg(F.count("*").alias("n"))

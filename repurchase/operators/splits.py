@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.operators.ranking import running_totals, with_position
-from repurchase.runtime import join_lookup
+from repurchase.runtime import join_null_safe
 
 
 def shuffle_key(key: str, seed: int) -> Column:
@@ -19,7 +19,7 @@ def shuffle_key(key: str, seed: int) -> Column:
 def with_holdout(
     df: DataFrame, label: str, share: float, seed: int, key: str, exact: bool = True, name: str = "holdout"
 ) -> DataFrame:
-    """Flag a random ``share`` of each class; ``key`` must be unique.
+    """Flag a random ``share`` of each class; ``key`` must be unique. Rows without label are a class like any other.
 
     The exact form takes precisely round(share · n) rows of every class, however large a class is: key
     and hash alone are ranked to find the last row taken of each class, and the rows themselves are
@@ -30,20 +30,19 @@ def with_holdout(
         # The first 13 hexadecimal digits as a number in [0, 1).
         drawn = F.conv(F.substring("_hash", 1, 13), 16, 10).cast("double") / float(16**13)
         return hashed.withColumn(name, drawn < share).drop("_hash")
-    labelled = hashed.where(F.col(label).isNotNull())
     ranked = running_totals(
-        labelled.select(label, "_hash", key), {"_at": F.lit(1)}, [F.col("_hash"), F.col(key)], [label]
+        hashed.select(label, "_hash", key), {"_at": F.lit(1)}, [F.col("_hash"), F.col(key)], [label]
     )
     # One row per class.
     sizes = ranked.groupBy(label).agg(F.count("*").alias("_size"))
     last = F.col("_at") == F.floor(F.col("_size") * F.lit(share) + 0.5)
-    cuts = join_lookup(ranked, sizes, [label]).where(last)
+    cuts = join_null_safe(ranked, sizes, [label]).where(last)
     cuts = cuts.select(label, F.col("_hash").alias("_cut_hash"), F.col(key).alias("_cut_key"))
     taken = (F.col("_hash") < F.col("_cut_hash")) | (
         (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
     )
     # A class of which nothing is taken has no cut.
-    flagged = join_lookup(labelled, cuts, [label], "left").withColumn(name, F.coalesce(taken, F.lit(False)))
+    flagged = join_null_safe(hashed, cuts, [label], "left").withColumn(name, F.coalesce(taken, F.lit(False)))
     return flagged.drop("_hash", "_cut_hash", "_cut_key")
 
 
@@ -56,12 +55,16 @@ def stratified_split(
 
 
 def ordered_split(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """(first ``share`` of the rows in order of the unique ``key``, the rest).
+    """(first ``share`` of the rows in order of the unique ``key``, the rest); a row without key comes first.
 
     Only keys are ranked; the rows are then filtered by the last key of the first part.
     """
     placed = with_position(df.select(key), [F.col(key)], "_position")
     taken = math.floor(placed.count() * share)
     last = placed.where(F.col("_position") == taken).first()
-    early = F.col(key) <= F.lit(last[key]) if last is not None else F.lit(False)
+    early = F.lit(False)
+    if last is not None:
+        early = F.col(key).isNull()
+        if last[key] is not None:
+            early = early | (F.col(key) <= F.lit(last[key]))
     return df.where(early), df.where(~early)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repurchase.operators.clean import clean_inf
 from repurchase.operators.selection import assemble
-from repurchase.runtime import join_lookup, shared_dir
+from repurchase.runtime import join_null_safe, shared_dir
 from repurchase.schema import GbtParams
 
 
@@ -26,12 +26,12 @@ def with_null_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Add weights under which every class counts the same in total."""
+    """Add weights under which every class counts the same in total; rows without label are a class of their own."""
     # One row per class.
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     rows = sizes.agg(F.sum("_n") / F.count("*")).scalar()
     weights = sizes.select(label, (rows / F.col("_n")).alias(name))
-    return join_lookup(df, weights, [label])
+    return join_null_safe(df, weights, [label])
 
 
 def train_gbt(

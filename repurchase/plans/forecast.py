@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.functions import expressions as X
 from repurchase.functions.windows import DayWindow
 from repurchase.operators.clusters import as_point, assign, cluster_labels, kmeans_fit, kmeans_predict
-from repurchase.operators.decisions import attach_scores, by_threshold, label_top_n
+from repurchase.operators.decisions import attach_scores, by_threshold, label_top_n, topn_sweep
 from repurchase.operators.labels import horizon_label
 from repurchase.operators.metrics import accuracy, balanced_accuracy, roc_auc
 from repurchase.operators.rolling import daily_sums
 from repurchase.operators.scaling import minmax_scale
+from repurchase.operators.selection import anova_scores, apply_selection, select_top
 from repurchase.operators.splits import ordered_split, stratified_split
 from repurchase.operators.training import fit_evaluate, fit_predict
 from repurchase.schema import DEPTHWISE, LEAFWISE, GbtParams
@@ -37,6 +40,22 @@ def ranked_forecast(
     return judged.select("customer_id", "result").orderBy("customer_id")
 
 
+def selected_forecast(
+    train: DataFrame,
+    future: DataFrame,
+    template: DataFrame,
+    n_features: int = 30,
+    buy_num: int = 450_000,
+    params: GbtParams = DEPTHWISE,
+) -> DataFrame:
+    """As above with the ``n_features`` features of the highest F statistic in the training table."""
+    scores = anova_scores(train, feature_columns(train), "label").where(F.col("score").isNotNull())
+    names = [r["feature"] for r in select_top(scores, n_features).collect()]
+    return ranked_forecast(
+        apply_selection(train, names, KEYS), apply_selection(future, names, KEYS[:1]), template, buy_num, params
+    )
+
+
 def threshold_forecast(
     train: DataFrame, future: DataFrame, template: DataFrame, threshold: float = 0.4, params: GbtParams = LEAFWISE
 ) -> DataFrame:
@@ -56,6 +75,15 @@ def stratified_check(
     return balanced_accuracy(by_threshold(scored, "score", threshold), "label", "result")
 
 
+def sweep_check(
+    train: DataFrame, ns: Sequence[int], share: float = 0.2, seed: int = 42, params: GbtParams = LEAFWISE
+) -> DataFrame:
+    """Balanced accuracy of marking the top n of a stratified holdout, for each n."""
+    fit_on, holdout = stratified_split(train, "label", share, seed, "customer_id")
+    scored = fit_evaluate(fit_on, holdout, feature_columns(train), "customer_id", "label", params)
+    return topn_sweep(scored, "score", "label", ns, "customer_id")
+
+
 def ordered_check(train: DataFrame, share: float = 0.8, params: GbtParams = LEAFWISE) -> DataFrame:
     """AUC and accuracy on the last customers by id."""
     first, last = ordered_split(train, "customer_id", share)

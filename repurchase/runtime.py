@@ -1,29 +1,29 @@
-"""Where intermediate results go so that they outlive a lost executor, and joins with small tables."""
+"""Where intermediate results go so that they outlive a lost executor, and joins in which nulls meet."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tables up to this many rows are sent to every executor.
-MAX_LOOKUP_ROWS = 100_000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
+    """The checkpoint folder of the session, which the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets
-    a temporary folder; a cluster without it is refused, because its machines share no such folder.
+    Only a session whose tasks run in this very process may go without: it gets a temporary folder. Any
+    other one, a cluster of processes on this machine included, is refused.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
         if configured is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
             configured = tempfile.mkdtemp(prefix="repurchase-")
         context.setCheckpointDir(configured)
@@ -42,11 +42,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def join_lookup(
-    df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS
-) -> DataFrame:
-    """Join a table that is expected to be small: broadcast once its rows are counted, else an ordinary join."""
-    rows = lookup.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df.join(lookup, on, how)
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, lookup.schema)), on, how)
+def join_null_safe(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which a null key meets a null key; the keys of ``df`` are kept."""
+    other = lookup.withColumnsRenamed({c: f"_key_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in on])
+    return df.join(other, same, how).drop(*[f"_key_{c}" for c in on])

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from repurchase.functions import expressions as X
 from repurchase.functions.windows import DayWindow
-from repurchase.operators import clean, clusters, decisions, labels, metrics, profile, rolling, selection, snapshot
+from repurchase.operators import clean, clusters, decisions, labels, metrics, profile, rolling, selection, snapshot, splits
+from repurchase.operators.ranking import running_totals
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.training import class_weights, with_null_flags
-from repurchase.schema import ORDER_LINE_COLUMNS, RollingSpec, SnapshotSpec
+from repurchase.schema import NULLABLE_COLUMNS, ORDER_LINE_COLUMNS, RollingSpec, SnapshotSpec
 from repurchase.sources.transactions import conform
 
 UNTIL = date(2024, 3, 1)
@@ -66,8 +67,9 @@ def test_declared_columns_with_nulls_are_refused_and_undeclared_ones_handled(spa
         {"customer_id": 7, "order_detail_id": 2, "order_pay_time": at(2), "order_amount": None},
     )
     with pytest.raises(Exception, match="order_amount holds nulls"):
-        snapshot.snapshot_features(tx, "2024-01-31").collect()
-    assert snapshot.snapshot_features(tx, "2024-01-31", SnapshotSpec(nullable=None)).first()["order_amount_last"] == 5.0
+        snapshot.snapshot_features(tx, "2024-01-31", SnapshotSpec(nullable=NULLABLE_COLUMNS)).collect()
+    # A malformed cell became null on reading; by default the value before it counts.
+    assert snapshot.snapshot_features(tx, "2024-01-31").first()["order_amount_last"] == 5.0
 
 
 def test_single_line_and_all_null_columns(spark):
@@ -371,3 +373,63 @@ def test_points_must_fit_the_model(spark):
     centroids = spark.createDataFrame([(0, [0.0, 0.0])], "cluster int, center array<double>")
     with pytest.raises(Exception, match="arrays of 2 numbers"):
         clusters.assign(df, centroids).collect()
+
+
+def test_splits_keep_rows_without_key_or_label(spark):
+    df = spark.createDataFrame([(1, 0), (None, 1), (3, None), (4, None), (5, 0)], "id int, y int")
+    first, last = splits.ordered_split(df, "id", 0.5)
+    assert rows(first, "id") == [(None, 1), (1, 0)] and last.count() == 3
+    only = spark.createDataFrame([(1,), (None,), (3,)], "id int")
+    first, last = splits.ordered_split(only, "id", 0.5)
+    assert rows(first) == [(None,)] and rows(last) == [(1,), (3,)]
+    keyed = df.where("id is not null")
+    for exact in (True, False):
+        train, held = splits.stratified_split(keyed, "y", 0.5, 1, "id", exact)
+        assert train.count() + held.count() == 4
+    assert held.columns == ["id", "y"]
+    train, held = splits.stratified_split(keyed, "y", 0.5, 1, "id")
+    assert held.where("y is null").count() == 1 and held.where("y = 0").count() == 1
+
+
+def test_null_is_a_group_of_running_totals_and_a_class_of_weights(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "g string, v int")
+    got = running_totals(df, {"upto": F.col("v")}, [F.col("v")], ["g"])
+    assert sorted((r.g or "", r.upto) for r in got.collect()) == [("", 2), ("", 5), ("a", 1)]
+    weights = class_weights(df, "g").collect()
+    assert sorted((r.g or "", r.weight) for r in weights) == [("", 0.75), ("", 0.75), ("a", 1.5)]
+
+
+def test_missing_decisions_are_wrong(spark):
+    df = spark.createDataFrame([(1, None), (1, 1), (0, 0), (None, 1)], "y int, d int")
+    assert metrics.accuracy(df, "y", "d").first()[0] == pytest.approx(2 / 3)
+    assert metrics.balanced_accuracy(df, "y", "d").first()[0] == 0.75
+
+
+def test_histogram_without_values(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert rows(metrics.histogram(df, "v", 2), "bin") == [(0, 0.0, 0.5, 0), (1, 0.5, 1.0, 0)]
+
+
+def test_large_values(spark):
+    df = spark.createDataFrame([(1e300, 2.0**63, 8e14), (1.5, 1.0, None), (None, None, 8e14)], "f double, w double, m double")
+    narrowed, _ = clean.narrow_types(df, ["f", "w"])
+    assert narrowed.agg(F.max("f"), F.max(F.col("w").cast("double"))).first() == (1e300, 2.0**63)
+    many = spark.range(20_000).select(F.lit(8e14).alias("m"))
+    assert clean.fill_mean(many, ["m"], decimals=4).agg(F.max("m")).first()[0] == pytest.approx(8e14)
+
+
+def test_modes_of_several_types(spark):
+    df = spark.createDataFrame([("b", 10, 1.5), ("a", 9, None), (None, None, None)], "s string, i int, d double")
+    assert clean.fill_mode(df, ["s", "i", "d"]).where("s = 'a' and i = 9 and d = 1.5").count() == 2
+
+
+def test_deviation_of_large_values(spark):
+    df = spark.createDataFrame([(i, 1e8 + 0.01 * i) for i in (1, 2, 3)], "age int, v double")
+    got = df.agg(DayWindow(F.col("v"), F.col("age"), 3).std()).first()[0]
+    assert got == pytest.approx(0.01, rel=1e-5)
+
+
+def test_information_by_quantiles_of_sparse_columns(spark):
+    df = spark.createDataFrame([(float(i), None, i % 2) for i in range(20)] + [(1e9, 5.0, None)], "a double, b double, y int")
+    got = {r.feature: r.score for r in selection.mutual_info(df, ["a", "b"], "y", 4, "quantile").collect()}
+    assert got["b"] == pytest.approx(0.0) and got["a"] < 0.1
