@@ -22,7 +22,7 @@ HEADLINE = (
     "repeat_buyer_ranking", "snapshot_all", "l3_train_set", "rolling_all", "rolling_train_set", "rolling_dense",
     "w14_extra", "l1_label_future", "p2_describe_numeric", "p5_summary_table", "c10_range_report", "m4_topn_sweep",
     "m5_label_top_n", "m8_auc", "n2_anova", "n3_mutual_info", "t1_stratified", "t2_ordered", "k2_assign", "k4_fit",
-    "k6_predict",
+    "k6_predict", "k7_pca",
 )
 RUNS = 3
 

@@ -58,8 +58,13 @@ class DayWindow:
         return F.sqrt((inner + between) / F.lit(self.length - 1))
 
     def median(self) -> Column:
-        """Median over all days; the collected array holds at most one value per day of the window."""
-        seen = F.collect_list(self._seen)
+        """Median over all days.
+
+        All windows of a measure take their values from one collected list of at most one entry per day.
+        """
+        days = F.collect_list(F.struct(self.age.alias("age"), self.value.alias("value")))
+        inside = F.filter(days, lambda d: d["age"].between(self.shift + 1, self.shift + self.length))
+        seen = F.transform(F.filter(inside, lambda d: d["value"].isNotNull()), lambda d: d["value"])
         days = F.array_sort(F.concat(seen, F.array_repeat(F.lit(0.0), F.lit(self.length) - F.size(seen))))
         return (F.element_at(days, (self.length + 1) // 2) + F.element_at(days, self.length // 2 + 1)) / 2
 

@@ -26,10 +26,22 @@ def by_threshold(df: DataFrame, score: str, threshold: float, name: str = "resul
 def label_top_n(
     df: DataFrame, score: str, n: int, tie: str, inclusive: bool = False, name: str = "result"
 ) -> DataFrame:
-    """1 for the ``n`` highest scores, else 0; ``inclusive`` marks one more. ``tie`` must be unique."""
-    placed = with_position(df, [F.col(score).desc(), F.col(tie)], "_position")
+    """1 for the ``n`` highest scores, else 0; ``inclusive`` marks one more. ``tie`` must be unique.
+
+    Scores and ties alone are ranked to find the last row marked; the rows are flagged where they are. Rows
+    without score come last.
+    """
     cut = n + 1 if inclusive else n
-    return placed.withColumn(name, (F.col("_position") <= cut).cast("int")).drop("_position")
+    placed = with_position(df.select(score, tie), [F.col(score).desc(), F.col(tie)], "_position")
+    last = placed.where(F.col("_position") == cut).first()
+    if last is None:
+        chosen = F.lit(cut > 0)
+    elif last[score] is None:
+        chosen = F.col(score).isNotNull() | (F.col(tie) <= F.lit(last[tie]))
+    else:
+        equal = (F.col(score) == F.lit(last[score])) & (F.col(tie) <= F.lit(last[tie]))
+        chosen = F.coalesce((F.col(score) > F.lit(last[score])) | equal, F.lit(False))
+    return df.withColumn(name, chosen.cast("int"))
 
 
 def topn_sweep(df: DataFrame, score: str, label: str, ns: Sequence[int], tie: str) -> DataFrame:
