@@ -1,35 +1,44 @@
-"""From raw documents to token ids: quality, near-duplicates, personal data, mixture, tokens."""
+"""From raw documents to token ids: quality, near-duplicates, personal data, mixture, tokens.
+
+A stage begins by deleting the intermediate tables of the stages before it, so their results must have been
+written by then.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from repurchase.llm import bpe, mixing, neardup, pii, quality
-from repurchase.llm.storage import stored
+from repurchase.llm.storage import fresh, release, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the base rule or a risk-controlled cutoff rejects."""
+    release(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    release(spark)
     return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data replaced by their kind; n_chars stays that of the original text."""
+    release(spark)
     return pii.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their source takes them."""
+    release(spark)
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and token ids."""
+    release(spark)
     return bpe.encode_documents(docs, "doc_id", "source", outputs="ids")
 
 
@@ -47,9 +56,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other; what a stage returns is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, name.replace(" ", "-"))
+            path = fresh(spark, name.replace(" ", "-"))
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before = path
     return docs

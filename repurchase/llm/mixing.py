@@ -178,8 +178,9 @@ def taken(mixed: Mix, block_words: int = 256, carry: tuple[str, ...] = ()) -> Da
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """Every document as often as the mix takes its first word (up to three times, or not at all); empty ones once."""
-    packed = documents.select(F.struct(*documents.columns).alias("_document"), "doc_id", "source", "text")
+    packed = documents.select(F.struct(*documents.columns).alias("_document"))
     rows = stored(packed.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    copies = taken(mix(rows, carry=("_row",)), carry=("_row",)).select("_row", "copies").where("copies > 0")
+    named = rows.select("_row", "_document.doc_id", "_document.source", "_document.text")
+    copies = taken(mix(named, carry=("_row",)), carry=("_row",)).select("_row", "copies").where("copies > 0")
     repeated = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select("_document.*")

@@ -290,9 +290,9 @@ def redact(documents: DataFrame) -> DataFrame:
     Overlapping spans of several kinds are replaced as one, by the kind that begins first.
     """
     packed = documents.select(F.struct(*documents.columns).alias("_document"), "text")
-    found = find_spans(packed, "_document", "text")
+    found = find_spans(packed, "_document")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("_document.text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, s: Column) -> Column:
@@ -305,5 +305,5 @@ def redact(documents: DataFrame) -> DataFrame:
     def whole(a: Column) -> Column:
         return F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text)))
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, whole)).otherwise(F.col("text"))
+    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, whole)).otherwise(F.col("_document.text"))
     return found.select(*[clean.alias(c) if c == "text" else F.col("_document")[c].alias(c) for c in documents.columns])

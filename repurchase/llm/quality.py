@@ -193,9 +193,9 @@ def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delt
 
 def judge(rated: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Add kept: false if the base rule or a chosen cutoff of the document's stratum rejects."""
-    joined = rated.withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(
-        cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs")), "_stratum", "left"
-    )
+    # Stored, so that Spark knows the size before it chooses the join: a row per language need not move documents.
+    chosen = stored(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs")), "cutoffs")
+    joined = rated.withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(chosen, "_stratum", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~beyond(F.col("_cutoffs"))).drop("_stratum", "_cutoffs")
 
 

@@ -24,10 +24,35 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+# Paths of this process's intermediate tables, until they are released.
+_SCRATCH: list[str] = []
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path that ``release`` removes."""
+    _SCRATCH.append(fresh(spark, name))
+    return _SCRATCH[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, in whatever store it is."""
+    if not path.startswith(work_dir(spark) + "/"):
+        raise ValueError(f"{path} is not an intermediate table")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables made so far; DataFrames that still depend on them can no longer be read."""
+    while _SCRATCH:
+        remove(spark, _SCRATCH.pop())
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and no longer dependent on its inputs."""
     path = scratch(df.sparkSession, name)
