@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.llm.storage import stored
 
 
+def keyed(node: Column) -> Column:
+    """The node as a join key of another type: the join then gets two plain exchanges, and adaptive execution can
+    split a hot node, which it does not above an aggregate on the same key."""
+    return node.cast("string").alias("key")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> node, root: the smallest node reachable, for every node with an edge.
 
@@ -18,8 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(keyed(F.col("a")), F.least("a", "m").alias("m"))
+        large = current.select("a", keyed(F.col("b"))).join(least, "key").select("a", F.col("m").alias("b"))
+        # A node has no more smaller neighbours than it began with, so a key is not hot here.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))

@@ -256,10 +256,11 @@ def full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """a, b: every class of a component of a task, with the first class of it. Blocks of a cluster meet in pairs."""
+    """a, b: every class of a component of a task, with the first class of it; part: whether the task held only a part
+    of its cluster, whose blocks meet in pairs."""
     own = F.pmod(F.xxhash64("cid", F.lit(4)), "blocks").cast("int")
     tasks = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "set")
+    tasks = tasks.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks", "cid", "set")
 
     def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cids, sets_ = None, [], []
@@ -269,10 +270,11 @@ def links(sets: DataFrame) -> DataFrame:
             ids = np.array(cids, dtype=np.int64)[order]
             root = Block([sets_[o] for o in order]).components()
             keep = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["a", "b"])
+            part = pa.array(np.full(int(keep.sum()), key[3] > 1))
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]]), part], names=["a", "b", "part"])
 
         for batch in tables:
-            names = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j"))))
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "blocks"))))
             column = batch.column("set")
             flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
             for n, (name, cid) in enumerate(zip(names, batch.column("cid").to_pylist())):
@@ -286,7 +288,7 @@ def links(sets: DataFrame) -> DataFrame:
             yield done()
 
     dealt = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInArrow(work, "a long, b long")
+    return dealt.mapInArrow(work, "a long, b long, part boolean")
 
 
 def near_duplicates(documents: DataFrame, k: int = K, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -307,7 +309,12 @@ def near_duplicates(documents: DataFrame, k: int = K, block_shingles: int = BLOC
     wanted = classes.join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
     blocks = wanted.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     wanted = wanted.select("rep", "body", "cid", "cluster").join(blocks, "cluster")
-    found = connected_components(stored(links(full_sets(documents, wanted)), "links"))
+    found = stored(links(full_sets(documents, wanted)), "links")
+    if found.where("part").isEmpty():
+        # Every cluster was in one task, so each class has its root already.
+        found = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        found = connected_components(found.select("a", "b"))
     named = classes.select("key", "cid", "rep").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
