@@ -100,9 +100,12 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
 
 
 def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """body, anchor, first, last, hash, for every text of at least ``length`` bytes."""
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-    names = ["body", "anchor", "first", "last", "hash"]
+    """body, hash, n, places (array of anchor, first, last), for every text of at least ``length`` bytes.
+
+    The anchors of a text that share a hash are one row: a text that repeats a few words has thousands.
+    """
+    place = pa.struct([("anchor", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+    names = ["body", "hash", "n", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -115,17 +118,23 @@ def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                         part = data[at : at + step + length - 1]
                         bounds = offsets if len(offsets) > 2 else np.array([0, len(part)])
                         text, anchor, first, last, h = anchors_of(part, bounds, length, gram)
-                        columns = [bodies.take(pa.array(text)), anchor + at, first + at, last + at, h.view(np.int64)]
-                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                        order = np.lexsort((h, text))
+                        text, h = text[order], h[order]
+                        heads = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))
+                        ends = np.concatenate([heads, [len(h)]]).astype(np.int32)
+                        three = [pa.array((c[order] + at).astype(np.int32)) for c in (anchor, first, last)]
+                        places = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(three, fields=list(place)))
+                        columns = [bodies.take(pa.array(text[heads])), pa.array(h[heads].view(np.int64)), pa.array(np.diff(ends), pa.int64()), places]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = documents.select("body", "_text").where(F.octet_length("_text") >= length)
-    return rows.mapInArrow(run, "body binary, anchor int, first int, last int, hash long")
+    return rows.mapInArrow(run, "body binary, hash long, n long, places array<struct<anchor:int,first:int,last:int>>")
 
 
 def stretches(texts: DataFrame, length: int, hot: int) -> DataFrame:
     """group, stretch (digest), place (of the anchor in it), body, at (where it begins), bytes (null if sent before).
 
-    ``texts`` has body, _text and places: an array of (anchor, first, last, hash, n).
+    ``texts`` has body, _text and anchors: an array of (hash, n, places).
     """
     names = ["group", "stretch", "place", "size", "body", "at", "bytes"]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
@@ -135,9 +144,9 @@ def stretches(texts: DataFrame, length: int, hot: int) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 raw, body, rows = batch.column("_text")[n].as_py().encode(), batch.column("body")[n].as_py(), []
-                for a in batch.column("places")[n].as_py():
+                for a, is_hot in ((p | {"hash": g["hash"]}, g["n"] > hot) for g in batch.column("anchors")[n].as_py() for p in g["places"]):
                     p, cells = a["anchor"], [(a["first"], a["last"], a["hash"])]
-                    if a["n"] > hot:
+                    if is_hot:
                         cells = []
                         for cell in range((p - a["last"]) // CELL, (p - a["first"]) // CELL + 1):
                             low, high = max(a["first"], p - CELL * cell - CELL + 1), min(a["last"], p - CELL * cell)
@@ -159,7 +168,7 @@ def stretches(texts: DataFrame, length: int, hot: int) -> DataFrame:
                 if len(sent) > 500_000:
                     sent.clear()
 
-    return texts.select("body", "_text", "places").mapInArrow(run, "group long, stretch binary, place int, size int, body binary, at int, bytes binary")
+    return texts.select("body", "_text", "anchors").mapInArrow(run, "group long, stretch binary, place int, size int, body binary, at int, bytes binary")
 
 
 def repeated_windows(groups: np.ndarray, places: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -295,17 +304,19 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     classes = rows.where(F.col("n_bytes") >= length).groupBy("body").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
     named = stored(anchors(rows, length, gram), "anchors")
-    # Copies of a text give the same occurrence; two different ones make an anchor a candidate.
-    occurrence = F.xxhash64("body", "anchor")
+    # An anchor is a candidate if it occurs twice in a text or in two different ones. The table of candidates is
+    # stored, as adaptive execution splits hot keys only in a join of two plain exchanges.
+    text_id = F.xxhash64("body")
     twice = (
         named.groupBy("hash")
-        .agg(F.min(occurrence).alias("low"), F.max(occurrence).alias("high"), F.count("*").alias("n"))
-        .where("low != high")
-        .select("hash", "n")
+        .agg(F.min(text_id).alias("low"), F.max(text_id).alias("high"), F.max("n").alias("most"), F.sum("n").alias("all"))
+        .where("low != high or most > 1")
+        .select("hash", "all")
     )
-    candidates = named.join(twice, "hash").groupBy("body", "anchor", "first", "last", "hash").agg(F.max("n").alias("n"))
-    places = candidates.groupBy("body").agg(F.collect_list(F.struct("anchor", "first", "last", "hash", "n")).alias("places"))
-    chosen = places.join(classes, "body").select(F.coalesce("rep", F.lit(-1)).alias("_doc"), "body", "places")
+    candidates = named.join(stored(twice, "twice"), "hash")
+    once = candidates.groupBy("body", "hash").agg(F.max("all").alias("n"), F.first("places").alias("places"))
+    grouped = once.groupBy("body").agg(F.collect_list(F.struct("hash", "n", "places")).alias("anchors"))
+    chosen = grouped.join(classes, "body").select(F.coalesce("rep", F.lit(-1)).alias("_doc"), "body", "anchors")
     texts = rows.where(F.col("n_bytes") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), "body", "_text")
     texts = stored(texts.join(chosen, ["_doc", "body"]).dropDuplicates(["_doc", "body"]).drop("_doc"), "texts")
     found = stored(stretches(texts, length, hot), "stretches")
