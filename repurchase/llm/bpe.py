@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF_CHARS = 4096
+LEAF_CHARS = 8192
 SPREAD_CHARS = 65_536
 # At least the length of the longest special token, so that a window sees whole the ones that a cut divides.
 FIRST_WINDOW = 32
-# Words kept in memory by each worker; the memory starts over when it is full.
+# Words kept in memory by each worker, in two generations: a full one becomes the older one, and words looked up
+# again move to the younger.
 KNOWN_WORDS = 150_000
 # White space in the tokenizer's sense. str.split() also splits at the four separators below.
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -82,19 +83,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.leaf, self.window, self.known = leaf, window, {}
+        self.leaf, self.window, self.known, self.older = leaf, window, {}, {}
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
 
     def entries(self, words: list[str]) -> list[tuple]:
-        known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            pass
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        own, names = dict.fromkeys(words), self.names
-        new = [w for w in own if w not in known]
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, names = self.known, self.older, self.names
+        new = []
+        for word in set(words).difference(known):
+            entry = older.get(word)
+            if entry is None:
+                new.append(word)
+            else:
+                known[word] = entry
         for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             ids = e.ids
             known[word] = (" ".join([str(i) for i in ids]), " ".join([names[i] for i in ids]), len(ids))
