@@ -153,7 +153,7 @@ def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delt
     quantiles = (
         tuning.where("good")
         .groupBy("stratum")
-        .agg(F.array(*[F.percentile(value(r), shares) for r in RULES]).alias("at"))
+        .agg(F.array(*[F.percentile_approx(value(r), shares, 10_000) for r in RULES]).alias("at"))
         .select("stratum", "at", F.explode(F.array(*[F.lit(i) for i in range(len(SHARES))])).alias("level"))
         .select("stratum", "level", F.transform("at", lambda x: F.element_at(x, F.col("level") + 1)).alias("at"))
     )
