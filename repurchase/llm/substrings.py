@@ -42,6 +42,7 @@ HOT = 20_000
 CELL = 32
 # Positions share a word with the hash, so that the leftmost of equal hashes wins.
 PLACE_BITS = 20
+PIECE_BYTES = 1 << PLACE_BITS
 SLICE_BYTES = 1 << 19
 STRETCH_BYTES = 8 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -99,21 +100,23 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     return text[new], at[new] - base, starts[new] - base, starts[last] - base, h[at[new]]
 
 
-def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """body, hash, n, places (array of anchor, first, last), for every text of at least ``length`` bytes.
+def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE_BYTES) -> DataFrame:
+    """body, piece, hash, n, places (array of anchor, first, last), for every text of at least ``length`` bytes.
 
-    The anchors of a text that share a hash are one row: a text that repeats a few words has thousands.
+    The anchors of a text that share a hash are one row: a text that repeats a few words has thousands. A text of at
+    least ``piece`` bytes (more than ``length``, at most 2 ** PLACE_BITS) has such rows for each of its pieces, named
+    by the place where the piece begins; a window belongs to one piece only.
     """
     place = pa.struct([("anchor", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
-    names = ["body", "hash", "n", "places"]
+    names = ["body", "piece", "hash", "n", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for i, j, data, offsets in text_slices(batch, "_text", SLICE_BYTES):
+                for i, j, data, offsets in text_slices(batch, "_text", min(SLICE_BYTES, piece - 1)):
                     bodies = batch.column("body")[i:j]
                     # A very long text goes piece by piece; pieces overlap by all but one byte of a window.
-                    step = (1 << PLACE_BITS) - length
+                    step = piece - length
                     for at in range(0, max(len(data) - length + 1, 1), step):
                         part = data[at : at + step + length - 1]
                         bounds = offsets if len(offsets) > 2 else np.array([0, len(part)])
@@ -124,17 +127,18 @@ def anchors(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                         ends = np.concatenate([heads, [len(h)]]).astype(np.int32)
                         three = [pa.array((c[order] + at).astype(np.int32)) for c in (anchor, first, last)]
                         places = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(three, fields=list(place)))
-                        columns = [bodies.take(pa.array(text[heads])), pa.array(h[heads].view(np.int64)), pa.array(np.diff(ends), pa.int64()), places]
+                        begun = pa.array(np.full(len(heads), at, dtype=np.int32))
+                        columns = [bodies.take(pa.array(text[heads])), begun, pa.array(h[heads].view(np.int64)), pa.array(np.diff(ends), pa.int64()), places]
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = documents.select("body", "_text").where(F.octet_length("_text") >= length)
-    return rows.mapInArrow(run, "body binary, hash long, n long, places array<struct<anchor:int,first:int,last:int>>")
+    return rows.mapInArrow(run, "body binary, piece int, hash long, n long, places array<struct<anchor:int,first:int,last:int>>")
 
 
 def stretches(texts: DataFrame, length: int, hot: int) -> DataFrame:
     """group, stretch (digest), place (of the anchor in it), body, at (where it begins), bytes (null if sent before).
 
-    ``texts`` has body, _text and anchors: an array of (hash, n, places).
+    ``texts`` has body, _text and anchors: an array of (hash, n, places), where the pieces of a text repeat a hash.
     """
     names = ["group", "stretch", "place", "size", "body", "at", "bytes"]
     kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
@@ -297,24 +301,28 @@ def cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "body binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_bytes: bool = False) -> DataFrame:
+def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_bytes: bool = False, piece: int = PIECE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_bytes`` kept: what is left of the text."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", text.alias("_text"), F.unhex(F.md5(text)).alias("body"), F.octet_length(text).cast("long").alias("n_bytes"))
     classes = rows.where(F.col("n_bytes") >= length).groupBy("body").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
-    named = stored(anchors(rows, length, gram), "anchors")
-    # An anchor is a candidate if it occurs twice in a text or in two different ones. The table of candidates is
-    # stored, as adaptive execution splits hot keys only in a join of two plain exchanges.
+    named = stored(anchors(rows, length, gram, piece), "anchors")
+    # An anchor is a candidate if it occurs at two places of a text, in one piece or in two, or in two different texts.
+    # The table of candidates is stored, as adaptive execution splits hot keys only in a join of two plain exchanges.
     text_id = F.xxhash64("body")
     twice = (
         named.groupBy("hash")
-        .agg(F.min(text_id).alias("low"), F.max(text_id).alias("high"), F.max("n").alias("most"), F.sum("n").alias("all"))
-        .where("low != high or most > 1")
+        .agg(
+            F.min(text_id).alias("low"), F.max(text_id).alias("high"), F.sum("n").alias("all"),
+            F.min(F.array_min("places.anchor")).alias("leftmost"), F.max(F.array_max("places.anchor")).alias("rightmost"),
+        )
+        .where("low != high or leftmost != rightmost")
         .select("hash", "all")
     )
     candidates = named.join(stored(twice, "twice"), "hash")
-    once = candidates.groupBy("body", "hash").agg(F.max("all").alias("n"), F.first("places").alias("places"))
+    # Rows that repeat a text have equal places piece by piece.
+    once = candidates.groupBy("body", "hash", "piece").agg(F.max("all").alias("n"), F.first("places").alias("places"))
     grouped = once.groupBy("body").agg(F.collect_list(F.struct("hash", "n", "places")).alias("anchors"))
     chosen = grouped.join(classes, "body").select(F.coalesce("rep", F.lit(-1)).alias("_doc"), "body", "anchors")
     texts = rows.where(F.col("n_bytes") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), "body", "_text")

@@ -174,6 +174,32 @@ def test_repeated_strings_of_other_lengths(docs):
     assert bag(map(tuple, got.collect())) == bag(removed_windows(texts(), 100))
 
 
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_repeated_strings_in_pieces(spark, hot):
+    """Passages that repeat across the pieces of one long text, within one piece, and in other texts."""
+    import random
+
+    from tests.llm.data import prose
+
+    rng = random.Random(11)
+    inner, outer, near, both = (prose(rng, n) for n in (40, 45, 35, 50))
+    long = " ".join(
+        [prose(rng, 150), inner, both, prose(rng, 500), inner, prose(rng, 300), outer, near, prose(rng, 30), near, prose(rng, 700), both, prose(rng, 200)]
+    )
+    rows = [
+        (1, long, "en", "s"), (2, prose(rng, 30) + " " + outer + " " + prose(rng, 30), "en", "s"),
+        (3, prose(rng, 400) + " " + both + " " + prose(rng, 400), "en", "s"), (4, "x" * 3000, "en", "s"),
+    ]
+    # Other texts hold the bytes around every piece border of the long one.
+    rows += [(10 + i, prose(rng, 5) + " " + long[at - 200 : at + 200], "en", "s") for i, at in enumerate(range(924, len(long), 924))]
+    # A text of three pieces in two rows, with a passage that the long text has as well.
+    rows += [(i, prose(random.Random(12), 400) + " " + inner, "en", "s") for i in (50, 51)]
+    docs = documents(spark, rows)
+    assert len(long) > 8 * 1024
+    got = substrings.repeated_strings(docs, length=100, gram=16, hot=hot, piece=1024)
+    assert bag(map(tuple, got.collect())) == bag(removed_windows(rows, 100))
+
+
 def shingles(text):
     words = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
