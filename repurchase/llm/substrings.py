@@ -15,7 +15,9 @@ A byte goes if it is covered by a string of ``length`` bytes that also starts an
 4. The repeated windows of a text are merged and cut out.
 
 Anchors with more than ``hot`` occurrences are dealt out by their offset within the window and the bytes that all
-windows of that offset share, and equal stretches are sent once per task.
+windows of that offset share, and equal stretches are sent once per task. Where a group still has more than ``hot``
+different stretches, as at the edge of a passage that many texts share, these are dealt out again by half as many
+offsets, down to one: there a group is a window, and a plain count tells whether it repeats.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows and null ids are
 handled row by row, and a text occurring in two rows repeats; an empty table gives no rows. Other columns are not
@@ -175,6 +177,40 @@ def stretches(texts: DataFrame, length: int, hot: int) -> DataFrame:
     return texts.select("body", "_text", "anchors").mapInArrow(run, "group long, stretch binary, place int, size int, body binary, at int, bytes binary")
 
 
+def finer(found: DataFrame, length: int, cell: int) -> DataFrame:
+    """``stretches`` within the given ones, by cells of ``cell`` offsets: outer_group and outer_stretch instead of body,
+    and ``at`` counts from the beginning of the outer stretch."""
+    names = ["group", "stretch", "place", "size", "outer_group", "outer_stretch", "at", "bytes"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set = set()
+        for batch in batches:
+            rows = []
+            for group, stretch, p, raw in zip(*(batch.column(c).to_pylist() for c in ("group", "stretch", "place", "bytes"))):
+                # A window that begins d bytes before the anchor is in cell d // cell.
+                for c in range(max(p - len(raw) + length, 0) // cell, p // cell + 1):
+                    first, last = max(0, p - cell * c - cell + 1), min(len(raw) - length, p - cell * c)
+                    known = raw[p - cell * c : p - cell * c - cell + 1 + length]
+                    name = hashlib.blake2b(known, digest_size=8, salt=(group & (1 << 64) - 1).to_bytes(8, "little"), person=c.to_bytes(4, "little")).digest()
+                    inner, piece = int.from_bytes(name, "little", signed=True), raw[first : last + length]
+                    digest = hashlib.blake2b(piece, digest_size=16).digest()
+                    known_piece = (inner, digest) in sent
+                    if not known_piece:
+                        sent.add((inner, digest))
+                    rows.append((inner, digest, p - first, len(piece), group, stretch, first, None if known_piece else piece))
+                if len(rows) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            if len(sent) > 500_000:
+                sent.clear()
+
+    kept = found.select("group", "stretch", "place", "bytes")
+    return kept.mapInArrow(run, "group long, stretch binary, place int, size int, outer_group long, outer_stretch binary, at int, bytes binary")
+
+
 def repeated_windows(groups: np.ndarray, places: np.ndarray, strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each string the places where its first repeated window begins and its last one ends (-1: none).
 
@@ -276,6 +312,37 @@ def matches(found: DataFrame, length: int) -> DataFrame:
     return sent.repartition("group").sortWithinPartitions("group", "stretch").mapInArrow(run, "group long, stretch binary, begin int, end int")
 
 
+def repeated_parts(found: DataFrame, length: int, hot: int, cell: int = CELL) -> DataFrame:
+    """group, stretch, begin, end: the repeated parts of each distinct stretch; ``found`` is read several times."""
+    # A stretch that lies at two places repeats as a whole.
+    whole = (
+        found.groupBy("group", "stretch")
+        .agg(F.count("*").alias("n"), F.max("size").alias("end"))
+        .where("n > 1")
+        .select("group", "stretch", F.lit(0).alias("begin"), "end")
+    )
+    if cell == 1:
+        # Every stretch is a window.
+        return whole
+    many = stored(found.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("group"), "many")
+    if many.isEmpty():
+        return whole.unionByName(matches(found, length))
+    distinct = found.join(many, "group", "left_semi").select("group", "stretch").distinct()
+    large = stored(distinct.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("group"), "large")
+    if large.isEmpty():
+        return whole.unionByName(matches(found, length))
+    # One row per stretch; the bytes were sent at least once.
+    apart = found.where("bytes is not null").join(large, "group", "left_semi").dropDuplicates(["group", "stretch"])
+    inner = stored(finer(apart, length, cell // 2), "finer")
+    parts = repeated_parts(inner, length, hot, cell // 2)
+    spans = inner.select("group", "stretch", "outer_group", "outer_stretch", "at").join(parts, ["group", "stretch"])
+    spans = spans.select(
+        F.col("outer_group").alias("group"), F.col("outer_stretch").alias("stretch"),
+        (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"),
+    )
+    return whole.unionByName(matches(found.join(large, "group", "left_anti"), length)).unionByName(spans)
+
+
 def cut(texts: DataFrame) -> DataFrame:
     """body, _text, spans (array of begin, end) -> body, n_removed, n_spans, kept_sha256, kept bytes."""
 
@@ -328,14 +395,7 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, gram: int = GRA
     texts = rows.where(F.col("n_bytes") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), "body", "_text")
     texts = stored(texts.join(chosen, ["_doc", "body"]).dropDuplicates(["_doc", "body"]).drop("_doc"), "texts")
     found = stored(stretches(texts, length, hot), "stretches")
-    # A stretch that lies at two places repeats as a whole.
-    whole = (
-        found.groupBy("group", "stretch")
-        .agg(F.count("*").alias("n"), F.max("size").alias("end"))
-        .where("n > 1")
-        .select("group", "stretch", F.lit(0).alias("begin"), "end")
-    )
-    parts = whole.unionByName(matches(found, length))
+    parts = repeated_parts(found, length, hot)
     spans = found.select("group", "stretch", "body", "at").join(parts, ["group", "stretch"])
     spans = spans.groupBy("body").agg(F.collect_list(F.struct((F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"))).alias("spans"))
     copied = classes.where("copies > 1").select("body")

@@ -200,6 +200,30 @@ def test_repeated_strings_in_pieces(spark, hot):
     assert bag(map(tuple, got.collect())) == bag(removed_windows(rows, 100))
 
 
+def test_repeated_strings_hold_few_stretches(spark, monkeypatch):
+    """A passage in many texts, each with its own bytes around it: no task is given more than ``hot`` of them at once."""
+    from tests.llm.data import prose
+
+    import random
+
+    rng, hot, held = random.Random(13), 20, []
+    shared = prose(rng, 90)
+    rows = [(i, prose(rng, 20) + f" {i} " + shared + f" {i} " + prose(rng, 20), "en", "s") for i in range(120)]
+    # Some share a little more of the text before or after the passage.
+    rows += [(200 + i, prose(rng, 9) + f" {i} before " + shared + f" after {i} " + prose(rng, 9), "en", "s") for i in range(40)]
+    real = substrings.matches
+
+    def matches(found, length):
+        each = found.where("bytes is not null").groupBy("group").agg(F.countDistinct("stretch").alias("n"))
+        held.append(each.agg(F.max("n")).first()[0])
+        return real(found, length)
+
+    monkeypatch.setattr(substrings, "matches", matches)
+    got = substrings.repeated_strings(documents(spark, rows), hot=hot)
+    assert bag(map(tuple, got.collect())) == bag(removed_windows(rows, 400))
+    assert held and max(n or 0 for n in held) <= hot
+
+
 def shingles(text):
     words = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
