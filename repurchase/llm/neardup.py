@@ -76,7 +76,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     bounds = np.searchsorted(starts, offsets)
     run = np.zeros(max(len(h) - SHINGLE + 1, 0), dtype=np.uint64)
     for j in range(SHINGLE):
-        run = mixed(run * BASE + h[j : len(h) - SHINGLE + 1 + j])
+        run = mixed(run * BASE + h[j : j + len(run)])
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= SHINGLE:

@@ -229,6 +229,28 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_shingles_of_few_words(n):
+    """All the words that one call sees, in one text and in two."""
+    import numpy as np
+
+    words = "one two three four five six seven".split()[:n]
+    with np.errstate(over="ignore"):
+        for cut in range(n + 1):
+            parts = [" ".join(words[:cut]), " ".join(words[cut:])]
+            data, sizes = np.frombuffer("".join(parts).encode(), dtype=np.uint8), [len(p) for p in parts]
+            sets = neardup.shingle_sets(data, np.cumsum([0, *sizes]))
+            assert [len(s) for s in sets] == [len(shingles(p)) for p in parts]
+
+
+def test_near_duplicates_of_few_words(spark):
+    """Every row is a slice of its own."""
+    words = "one two three four five six".split()
+    rows = [(i, " ".join(words[:i]), "en", "s") for i in range(1, 7)] + [(10, "One TWO  three", "en", "s")]
+    docs = documents(spark, rows).repartitionByRange(7, "doc_id")
+    assert bag(map(tuple, neardup.near_duplicates(docs).collect())) == bag(near_components(rows))
+
+
 def near_components(rows):
     sets = [(d, shingles(t)) for d, t, _, _ in rows]
     group = list(range(len(sets)))
