@@ -36,7 +36,8 @@ THRESHOLD = 75
 K = 64
 SURE_OVERLAP = 24
 # Estimates from a sketch of 64 have a deviation of at most 0.0625; pairs this far below the threshold are left out.
-MARGIN = 0.33
+# An estimate of SURE_OVERLAP in 64 passes, so this misses no pair more than the overlaps do.
+MARGIN = THRESHOLD / 100 - SURE_OVERLAP / 64
 # Shingles of one block; a task holds two blocks at most.
 BLOCK_SHINGLES = 2_000_000
 SLICE_BYTES = 1 << 20

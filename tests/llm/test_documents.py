@@ -229,6 +229,14 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
 
 
+def test_near_duplicates_are_missed_as_rarely_as_stated():
+    from math import comb
+
+    least = min(n for n in range(65) if n / 64 >= neardup.THRESHOLD / 100 - neardup.MARGIN)
+    least = max(least, neardup.SURE_OVERLAP)
+    assert sum(comb(64, n) * 0.75**n * 0.25 ** (64 - n) for n in range(least)) < 1e-10
+
+
 @pytest.mark.parametrize("n", range(8))
 def test_shingles_of_few_words(n):
     """All the words that one call sees, in one text and in two."""
