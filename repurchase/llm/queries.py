@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repurchase.llm import ann, bpe, mixing, neardup, pii, quality, sharding, substrings, toxicity, warc
+from repurchase.llm import ann, bpe, fim, mixing, neardup, pii, quality, sharding, substrings, toxicity, warc
 
 
 def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op11_block_rotation_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.restore(fim.transform(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_label_propagation_shards": op1_label_propagation_shards,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_bottom_k_near_duplicates": op9_bottom_k_near_duplicates,
     "op10_learned_partitions": op10_learned_partitions,
+    "op11_block_rotation_fim": op11_block_rotation_fim,
 }
 
 SQL = {
@@ -108,5 +115,25 @@ select doc_id, size, source_size, target,
   (case when source_size = 0 then 0 else (goal // source_size) * size
     + greatest(least(start + size, goal % source_size) - start, 0) end)::bigint as taken
 from placed
+""",
+    "op11_block_rotation_fim": r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as h
+  from documents),
+d as (
+  select doc_id, text, u, len(u)::bigint as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as x, ('0x' || h[9:16])::bigint % (len(u) + 1) as y,
+    text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 50 as plain,
+    ('0x' || h[25:32])::bigint % 100 < 80 as spm
+  from t),
+c as (
+  select *, array_to_string(u[1:least(x, y)], '') as p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as m,
+    array_to_string(u[greatest(x, y) + 1:], '') as s
+  from d)
+select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+  case when not plain then length(p) end as prefix_chars, case when not plain then length(m) end as middle_chars,
+  sha256(case when plain then text when spm then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from c
 """,
 }
