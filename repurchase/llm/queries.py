@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repurchase.llm import ann, bpe, fim, mixing, neardup, pii, quality, sharding, substrings, toxicity, warc
+from repurchase.llm import ann, bpe, fim, mixing, neardup, negatives, pii, quality, sharding, substrings, toxicity, warc, weighted
 
 
 def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,15 @@ def op11_block_rotation_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_weighted_sampling_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_label_propagation_shards": op1_label_propagation_shards,
     "op2_risk_controlled_rules": op2_risk_controlled_rules,
@@ -80,6 +89,8 @@ QUERIES = {
     "op9_bottom_k_near_duplicates": op9_bottom_k_near_duplicates,
     "op10_learned_partitions": op10_learned_partitions,
     "op11_block_rotation_fim": op11_block_rotation_fim,
+    "op12_anchor_tree_negatives": op12_anchor_tree_negatives,
+    "op13_weighted_sampling_fingerprints": op13_weighted_sampling_fingerprints,
 }
 
 SQL = {
@@ -135,5 +146,23 @@ select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' en
   sha256(case when plain then text when spm then '<S>' || s || '<P>' || p || '<M>' || m else '<P>' || p || '<S>' || s || '<M>' || m end) as output_sha256,
   sha256(text) as restored_sha256
 from c
+""",
+    "op12_anchor_tree_negatives": """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same, list_inner_product(a.v, c.v)::bigint as score
+  from r a join r c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id and len(a.v) = len(c.v)),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as rank,
+  id as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
 """,
 }
