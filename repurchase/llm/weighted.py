@@ -9,8 +9,8 @@ the term with the smallest a is the sample, known by (term, t). Two texts agree
 to their generalised Jaccard similarity, sum of min(S) over sum of max(S) of all terms, whatever the two texts are.
 
 Everything is built of column functions. ln a and a hash of (term, t) are packed into one long, so that a sample is a
-plain ``min`` and all positions of a text are one hash aggregate. Texts are shuffled once by their key; the counts of
-terms and the samples need no further exchange, as they are grouped by that key and more.
+plain ``min`` and all positions of a text are one hash aggregate. Texts are shuffled once by their key; the samples need
+no further exchange, as they are grouped by that key and more.
 
 The fingerprint is written as four hexadecimal digits per position, so unequal samples look equal with a probability of
 1/65536, by which likenesses are too high at most. ln a is kept to 2**-23; closer ones are settled by the hash, in the
@@ -79,12 +79,17 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples:
 
     Where ``texts`` is already partitioned by some of the keys, nothing is shuffled.
     """
-    cut = texts.select(*keys, words(F.col(text)).alias("_words"))
-    # An upper bound of the number of words is enough here.
-    terms = cut.select(*keys, F.size("_words").alias("_total"), F.explode("_words").alias("_word"))
-    # Within one text 64 bits stand for a word. A text without words keeps a row, without term.
-    terms = terms.select(*keys, "_total", F.when(F.col("_word") != "", F.xxhash64("_word")).alias("_term"))
-    weighed = terms.groupBy(*keys, "_total", "_term").agg(F.count("*").alias("_count"))
+    # Within one text 64 bits stand for a word. Equal ones are counted where they are, as runs of the sorted list.
+    lists = texts.select(*keys, F.sort_array(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).alias("_terms"))
+    size, terms = F.size("_terms"), F.col("_terms")
+    changes = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.get(terms, i) != F.get(terms, i - 1)))
+    lists = lists.select(*keys, "_terms", changes.alias("_ends"))
+    run = F.transform(
+        "_ends", lambda end, i: F.struct(F.get(terms, end - 1).alias("_term"), (end - F.when(i > 0, F.get(F.col("_ends"), i - 1)).otherwise(0)).alias("_count"))
+    )
+    weighed = lists.select(*keys, size.cast("double").alias("_total"), F.inline(run))
+    # The empty string is no term, but keeps a row of a text without words.
+    weighed = weighed.withColumn("_term", F.when(F.col("_term") != F.xxhash64(F.lit("")), F.col("_term")))
     weight = F.col("_count").cast("double")
     weighed = weighed.select(*keys, "_total", "_term", weight.alias("_weight"), F.ln(weight).alias("_log"))
     columns = [F.col(c) for c in ("_term", "_weight", "_log", "_total")]
