@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repurchase.functions.ordering import Span, spans
 from repurchase.schema import NULLABLE_COLUMNS, RollingSpec, SnapshotSpec
 
 # Snapshot features: cutoff, origin of day counts, and a tie-break that makes the line order total.
@@ -94,6 +95,13 @@ def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return lines.select(*[F.expr(ORDER_LINES[c][0]).alias(c) for c in columns])
 
 
+def order_spans(spark: SparkSession, sf_dir: str) -> dict[str, Span]:
+    """Spans of the columns that order lines, measured on the tables they come from, without a join."""
+    lines = table(spark, sf_dir, "lineitem").select(*[F.expr(ORDER_LINES[c][0]).alias(c) for c in ORDER[1:]])
+    orders = table(spark, sf_dir, "orders").select(F.expr(ORDER_LINES[ORDER[0]][0]).alias(ORDER[0]))
+    return spans(orders, ORDER[:1]) | spans(lines, ORDER[1:])
+
+
 # Events as dense order lines: the value is paid, a purchase counts as quantity 1.
 EVENT_TX = (
     "tx as (select user_id as customer_id, ts as order_pay_time, value as order_total_payment,"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repurchase.catalog.fixtures import (
     DENSE, DENSE_START, DENSE_UNTIL, EVENT_TX, ROLLING, SINCE_UNTIL, SNAPSHOT, START, TX, UNTIL, daily_sql,
-    event_lines, order_lines, table,
+    event_lines, order_lines, order_spans, table,
 )
 from repurchase.catalog.registry import query
 from repurchase.catalog.snapshot import round_std, snapshot_sql
@@ -109,12 +109,12 @@ TRAIN_SQL = (
 
 @query("l3_train_set", f"with {TX}, {TRAIN_SQL} select * from train")
 def train_set(spark, sf_dir):
-    return round_std(build_dataset(order_lines(spark, sf_dir), UNTIL, True, spec=SNAPSHOT))
+    return round_std(build_dataset(order_lines(spark, sf_dir), UNTIL, True, spec=SNAPSHOT, known=order_spans(spark, sf_dir)))
 
 
 @query("l3_score_set", f"with {TX}, {snapshot_sql(LATER)} select * from snapshot")
 def score_set(spark, sf_dir):
-    return round_std(build_dataset(order_lines(spark, sf_dir), LATER, False, spec=SNAPSHOT))
+    return round_std(build_dataset(order_lines(spark, sf_dir), LATER, False, spec=SNAPSHOT, known=order_spans(spark, sf_dir)))
 
 
 @query(

@@ -14,7 +14,7 @@ from repurchase.catalog.fixtures import (
 from repurchase.catalog.labels import horizon_sql
 from repurchase.catalog.registry import query
 from repurchase.operators import rolling as R
-from repurchase.plans.dataset import build_dataset
+from repurchase.plans.dataset import build_dataset, rolling_datasets
 from repurchase.schema import RollingSpec
 
 COLUMNS = ("customer_id", "order_pay_time", "order_total_payment", "order_total_num")
@@ -221,6 +221,19 @@ def rolling_train_set(spark, sf_dir):
     return rounded(build_dataset(tx, SINCE_UNTIL, True, "rolling", start=START, spec=ROLLING, decimals=4))
 
 
+# The last of them lies after customers who bought only before all its windows.
+CUTOFFS = ("2001-01-01", "2001-04-02", SINCE_UNTIL)
+MANY_SQL = " union all ".join(
+    f"select *, date '{u}' as until from ({rolling_sql(ROLLING, u, label=True)})" for u in CUTOFFS
+)
+
+
+@query("l3_train_many_cutoffs", f"{ORDER_DAILY} {MANY_SQL}")
+def _(spark, sf_dir):
+    tx = order_lines(spark, sf_dir, *COLUMNS)
+    return rounded(rolling_datasets(tx, START, CUTOFFS, True, ROLLING, decimals=4))
+
+
 @query("rolling_everyone", f"{ORDER_DAILY} {rolling_sql(ROLLING, SINCE_UNTIL, label=True, population='all')}")
 def _(spark, sf_dir):
     return rounded(

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.catalog.fixtures import (
-    EVENT_TX, ORDER, SNAPSHOT, SNAPSHOT_RATIO, TX, UNTIL, cents, event_lines, order_lines,
+    EVENT_TX, ORDER, SNAPSHOT, SNAPSHOT_RATIO, TX, UNTIL, cents, event_lines, order_lines, order_spans,
 )
 from repurchase.catalog.registry import query
 from repurchase.functions import expressions as X
 from repurchase.operators import snapshot as S
 from repurchase.operators.labels import history
+from repurchase.operators.months import month_state, save_state, snapshot_from_months
+from repurchase.runtime import scratch_path
+from repurchase.sources.transactions import save_transactions
 
 ROW = f"row({', '.join(ORDER)})"
 SEEN = f"from tx where order_pay_time <= timestamp '{UNTIL}' group by customer_id"
@@ -62,14 +65,16 @@ def lines(spark, sf_dir, *columns: str) -> DataFrame:
 
 def lasts(columns):
     def run(spark, sf_dir):
-        return S.aggregate_by_customer(lines(spark, sf_dir, *columns), S.last_aggregates(columns, SNAPSHOT))
+        tx = S.with_order(lines(spark, sf_dir, *columns), SNAPSHOT, order_spans(spark, sf_dir))
+        return S.aggregate_by_customer(tx, S.last_aggregates(tx, columns, SNAPSHOT))
 
     return run
 
 
 @query("a1_last_gender", per_customer([f"coalesce({last_sql('customer_gender')}, 0) as customer_gender"]))
 def _(spark, sf_dir):
-    return S.aggregate_by_customer(lines(spark, sf_dir, "customer_gender"), S.gender_aggregates(SNAPSHOT))
+    tx = S.with_order(lines(spark, sf_dir, "customer_gender"), SNAPSHOT, order_spans(spark, sf_dir))
+    return S.aggregate_by_customer(tx, S.gender_aggregates(tx, SNAPSHOT))
 
 
 query("a2_last_goods", per_customer(lasts_sql(S.LAST_GOODS)))(lasts(S.LAST_GOODS))
@@ -201,9 +206,28 @@ def snapshot_sql(until: str, goods_num: bool = True, ratio: bool = False) -> str
 
 @query("snapshot_all", f"with {TX}, {snapshot_sql(UNTIL)} select * from snapshot")
 def snapshot_all(spark, sf_dir):
-    return round_std(S.snapshot_features(order_lines(spark, sf_dir), UNTIL, SNAPSHOT))
+    return round_std(S.snapshot_features(order_lines(spark, sf_dir), UNTIL, SNAPSHOT, order_spans(spark, sf_dir)))
 
 
 @query("snapshot_ratio", f"with {TX}, {snapshot_sql(UNTIL, goods_num=False, ratio=True)} select * from snapshot")
 def _(spark, sf_dir):
-    return round_std(S.snapshot_features(order_lines(spark, sf_dir), UNTIL, SNAPSHOT_RATIO))
+    return round_std(S.snapshot_features(order_lines(spark, sf_dir), UNTIL, SNAPSHOT_RATIO, order_spans(spark, sf_dir)))
+
+
+def from_months(until: str):
+    """Features at a cutoff from a state stored by month and the lines of the cutoff's own month, stored by month."""
+
+    def run(spark, sf_dir):
+        known, lines = order_spans(spark, sf_dir), scratch_path(spark, "order-lines")
+        save_transactions(order_lines(spark, sf_dir), lines)
+        tx = spark.read.parquet(lines)
+        state = scratch_path(spark, "month-state")
+        save_state(month_state(tx, SNAPSHOT, known), state)
+        return round_std(snapshot_from_months(spark.read.parquet(state), tx, until, SNAPSHOT, known))
+
+    return run
+
+
+MID_MONTH = "2001-03-14 12:00:00"
+for _key, _until in (("snapshot_from_months", UNTIL), ("snapshot_from_months_mid", MID_MONTH)):
+    query(_key, f"with {TX}, {snapshot_sql(_until)} select * from snapshot")(from_months(_until))

@@ -67,6 +67,11 @@ def as_date(value: str | date) -> Column:
     return F.lit(str(value)).cast("date")
 
 
+def day_of(value: str | date | Column) -> Column:
+    """A date, given as a column or as a value."""
+    return value if isinstance(value, Column) else as_date(value)
+
+
 def days_since(epoch: str | date, c: str | Column) -> Column:
     """Whole days from midnight of ``epoch``, rounded down."""
     return F.datediff(F.to_date(column(c)), as_date(epoch))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repurchase.operators.ranking import with_position
+from repurchase.operators.ranking import cut_rows, upto_cut
 
 
 def attach_scores(
@@ -28,33 +28,26 @@ def label_top_n(
 ) -> DataFrame:
     """1 for the ``n`` highest scores, else 0; ``inclusive`` marks one more. ``tie`` must be unique.
 
-    Scores and ties alone are ranked to find the last row marked; the rows are flagged where they are. Rows
-    without score come last.
+    Brackets find the last row marked; the rows are flagged where they are. Rows without score come last.
     """
     cut = n + 1 if inclusive else n
-    placed = with_position(df.select(score, tie), [F.col(score).desc(), F.col(tie)], "_position")
-    last = placed.where(F.col("_position") == cut).first()
-    if last is None:
-        chosen = F.lit(cut > 0)
-    elif last[score] is None:
-        chosen = F.col(score).isNotNull() | (F.col(tie) <= F.lit(last[tie]))
-    else:
-        equal = (F.col(score) == F.lit(last[score])) & (F.col(tie) <= F.lit(last[tie]))
-        chosen = F.coalesce((F.col(score) > F.lit(last[score])) | equal, F.lit(False))
+    last = cut_rows(df, score, tie, [cut])[cut]
+    # Without such a row there are none to mark, or all.
+    chosen = F.lit(cut > 0) if last is None else upto_cut(df, score, tie, last)
     return df.withColumn(name, chosen.cast("int"))
 
 
 def topn_sweep(df: DataFrame, score: str, label: str, ns: Sequence[int], tie: str) -> DataFrame:
-    """Balanced accuracy of labelling the top n, for each n: one ranking, one aggregation."""
-    placed = with_position(df.select(score, label, tie), [F.col(score).desc(), F.col(tie)], "_position")
+    """Balanced accuracy of labelling the top n, for each n: the last row of each n, and one aggregation."""
+    cuts = cut_rows(df, score, tie, ns)
     one, zero = F.col(label) == 1, F.col(label) == 0
     ones, zeros = F.count(F.when(one, 1)), F.count(F.when(zero, 1))
 
     def entry(n: int):
-        chosen = F.col("_position") <= n
+        chosen = F.lit(n > 0) if cuts[n] is None else upto_cut(df, score, tie, cuts[n])
         hit = F.try_divide(F.count(F.when(one & chosen, 1)), ones)
         spared = F.try_divide(F.count(F.when(zero & ~chosen, 1)), zeros)
         both = (F.coalesce(hit, spared) + F.coalesce(spared, hit)) / 2
         return F.struct(F.lit(n).cast("long").alias("n"), both.alias("balanced_accuracy"))
 
-    return placed.agg(F.array(*[entry(n) for n in ns]).alias("r")).select(F.inline("r"))
+    return df.agg(F.array(*[entry(n) for n in ns]).alias("r")).select(F.inline("r"))

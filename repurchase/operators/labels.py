@@ -59,7 +59,7 @@ def label_future(tx: DataFrame, until, key: str = "customer_id", time: str = "or
 
 def horizon_label(value: Column, day: Column, until, days: int) -> Column:
     """Aggregate: 1 if the largest daily value in the ``days`` days from ``until`` on is positive."""
-    ahead = F.datediff(day, X.as_date(until))
+    ahead = F.datediff(day, X.day_of(until))
     largest = F.max(F.when(ahead.between(0, days - 1), value))
     return (F.coalesce(largest, F.lit(0.0)) > 0).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repurchase.operators.ranking import running_totals
+from repurchase.operators.ranking import number_slice, sliced_totals
 from repurchase.operators.scaling import value_ranges
 from repurchase.operators.selection import equal_width_bin
 
@@ -32,12 +32,13 @@ def accuracy(df: DataFrame, label: str, decision: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact area under the ROC curve; pairs with equal scores count half.
 
-    Rows are merged per score first. Twice the area is added up in whole numbers.
+    Rows are merged per score first; the score itself names the slice in which its running total is taken. Twice the
+    area is added up in whole numbers.
     """
     counted = df.groupBy(F.col(score).alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("ones"), F.count(F.when(F.col(label) == 0, 1)).alias("zeros")
     )
-    ranked = running_totals(counted, {"upto": F.col("zeros")}, [F.col("score")])
+    ranked = sliced_totals(counted, {"upto": F.col("zeros")}, [F.col("score")], number_slice(F.col("score")))
     ones, zeros, upto = (F.col(c).cast("decimal(18,0)") for c in ("ones", "zeros", "upto"))
     twice = F.sum(ones * (upto + upto - zeros))
     pairs = F.sum("ones").cast("double") * F.sum("zeros").cast("double")

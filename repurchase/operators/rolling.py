@@ -7,6 +7,7 @@ one pass; no customer × day matrix is built.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -45,7 +46,7 @@ def daily_matrix(daily: DataFrame, days: list[date], value: str, key: str = "cus
 
 
 def payment_features(until, spec: RollingSpec, payment: Column, day: Column) -> list[Column]:
-    age = F.datediff(X.as_date(until), day)
+    age = F.datediff(X.day_of(until), day)
     active = payment != 0
     columns = []
     for i in spec.payment_windows:
@@ -67,7 +68,7 @@ def payment_features(until, spec: RollingSpec, payment: Column, day: Column) ->
 
 
 def goods_features(until, spec: RollingSpec, num: Column, day: Column) -> list[Column]:
-    age = F.datediff(X.as_date(until), day)
+    age = F.datediff(X.day_of(until), day)
     columns = []
     for suffix, shift in (("", 0), ("_2", spec.shift)):
         for i in spec.goods_windows:
@@ -131,3 +132,32 @@ def rolling_features(
         return daily.where(day < X.as_date(until)).groupBy(key).agg(*columns)
     seen = F.min(day).alias("_first_day")
     return daily.groupBy(key).agg(*columns, seen).where(F.col("_first_day") < X.as_date(until)).drop("_first_day")
+
+
+def rolling_features_at(
+    daily: DataFrame, untils: Sequence, spec: RollingSpec = RollingSpec(), key: str = "customer_id", label: bool = False
+) -> DataFrame:
+    """Rolling features at several cutoffs from one pass over the days, with the cutoff in ``until``.
+
+    Equal to :func:`rolling_features` at each cutoff, one below the other. A day goes to the cutoffs whose windows, or
+    whose label horizon, hold it, and is combined there before the shuffle; customers seen before a cutoff without a day
+    in its windows come from their first day alone.
+    """
+    cutoffs = F.array(*[X.as_date(u) for u in untils])
+    reach = max((*spec.payment_windows, *spec.goods_windows)) + spec.shift
+    day = F.col("day")
+    ahead = spec.horizon - 1 if label else -1
+    held = F.filter(cutoffs, lambda u: F.datediff(u, day).between(-ahead, reach))
+    counted = daily.select(key, "day", "day_payment", "day_num", F.explode(held).alias("until"))
+    seen = daily.groupBy(key).agg(F.min(day).alias("day"))
+    # Their days carry no values, so they add nothing to any window.
+    none = F.lit(None).cast("double")
+    before = F.filter(cutoffs, lambda u: day < u)
+    seen = seen.select(key, "day", none.alias("day_payment"), none.alias("day_num"), F.explode(before).alias("until"))
+    until = F.col("until")
+    columns = payment_features(until, spec, F.col("day_payment"), day)
+    columns += goods_features(until, spec, F.col("day_num"), day)
+    if label:
+        columns.append(horizon_label(F.col("day_num"), day, until, spec.horizon).alias("label"))
+    features = counted.unionByName(seen).groupBy(key, "until").agg(*columns, F.min(day).alias("_first_day"))
+    return features.where(F.col("_first_day") < until).drop("_first_day")

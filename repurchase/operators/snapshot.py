@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repurchase.functions import expressions as X
+from repurchase.functions.ordering import Span, last_value, packed, spans
 from repurchase.operators.labels import history
 from repurchase.schema import SnapshotSpec
 
@@ -52,19 +53,35 @@ LEVELS = (
     ("order_total_num", "order_total_num", False),
 )
 
-_ROW = "_last_row"
+_ROW, _ORDER = "_last_row", "_order"
 
 
-def gender_aggregates(spec: SnapshotSpec) -> list[Column]:
-    return [F.coalesce(X.latest("customer_gender", spec.order), F.lit(0)).alias("customer_gender")]
+def with_order(tx: DataFrame, spec: SnapshotSpec, known: dict[str, Span] | None = None) -> DataFrame:
+    """Add the order of lines as one number, if it can be packed.
 
+    ``known`` are spans that hold all values of the order's columns, so that they need not be measured.
+    """
+    if not spec.packed:
+        return tx
+    key = packed(tx, spec.order, spans(tx, spec.order) if known is None else known)
+    return tx if key is None else tx.withColumn(_ORDER, key)
 
-def last_aggregates(columns, spec: SnapshotSpec) -> list[Column]:
-    """Last value of each column; columns declared free of nulls share one ordering key."""
-    may_be_null = set(columns) if spec.nullable is None else set(columns) & set(spec.nullable)
-    sure = [c for c in columns if c not in may_be_null]
+
+def _latest(tx: DataFrame, c: str, spec: SnapshotSpec) -> Column:
+    return last_value(c, F.col(_ORDER)) if _ORDER in tx.columns else X.latest(c, spec.order)
+
+
+def gender_aggregates(tx: DataFrame, spec: SnapshotSpec) -> list[Column]:
+    return [F.coalesce(_latest(tx, "customer_gender", spec), F.lit(0)).alias("customer_gender")]
+
+
+def last_aggregates(tx: DataFrame, columns, spec: SnapshotSpec) -> list[Column]:
+    """Last value of each column. Without a packed order, columns declared free of nulls share one ordering key."""
+    if _ORDER in tx.columns or spec.nullable is None:
+        return [_latest(tx, c, spec).alias(f"{c}_last") for c in columns]
+    sure = [c for c in columns if c not in spec.nullable]
     shared = [X.latest_row(sure, spec.order).alias(_ROW)] if sure else []
-    return shared + [X.latest(c, spec.order).alias(f"{c}_last") for c in columns if c in may_be_null]
+    return shared + [X.latest(c, spec.order).alias(f"{c}_last") for c in columns if c in spec.nullable]
 
 
 def unfold_last(df: DataFrame) -> DataFrame:
@@ -123,16 +140,19 @@ def aggregate_by_customer(tx: DataFrame, columns: list[Column]) -> DataFrame:
     return unfold_last(tx.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(*columns))
 
 
-def snapshot_features(tx: DataFrame, until, spec: SnapshotSpec = SnapshotSpec()) -> DataFrame:
+def snapshot_features(
+    tx: DataFrame, until, spec: SnapshotSpec = SnapshotSpec(), known: dict[str, Span] | None = None
+) -> DataFrame:
     """All snapshot features of every customer with an order line at or before ``until``."""
+    lines = with_order(history(tx, until), spec, known)
     columns = (
-        gender_aggregates(spec)
-        + last_aggregates(LAST_GOODS + LAST_ORDER + LAST_MEMBER, spec)
+        gender_aggregates(lines, spec)
+        + last_aggregates(lines, LAST_GOODS + LAST_ORDER + LAST_MEMBER, spec)
         + spread_aggregates(spec)
         + count_aggregates()
         + level_aggregates(spec)
     )
-    features = with_calendar(aggregate_by_customer(history(tx, until), columns), spec)
+    features = with_calendar(aggregate_by_customer(lines, columns), spec)
     return with_discount_ratio(features) if spec.discount_ratio else features
 
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
+from repurchase.functions.ordering import Span
 from repurchase.operators.labels import buyers, future, with_membership
-from repurchase.operators.rolling import daily_sums, rolling_features
+from repurchase.operators.rolling import daily_sums, rolling_features, rolling_features_at
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.schema import RollingSpec, SnapshotSpec
 
 
-def snapshot_dataset(tx: DataFrame, until, is_train: bool, spec: SnapshotSpec = SnapshotSpec()) -> DataFrame:
+def snapshot_dataset(
+    tx: DataFrame, until, is_train: bool, spec: SnapshotSpec = SnapshotSpec(), known: dict[str, Span] | None = None
+) -> DataFrame:
     """Snapshot features at ``until``; for training with the open-horizon label.
 
     Features and later buyers are both partitioned by customer already when they are joined.
     """
-    features = snapshot_features(tx, until, spec)
+    features = snapshot_features(tx, until, spec, known)
     if not is_train:
         return features
     return with_membership(features, buyers(future(tx, until)), "customer_id", "label")
@@ -35,6 +40,13 @@ def rolling_dataset(
     return rolling_features(daily, until, spec, label=is_train, population=population)
 
 
+def rolling_datasets(
+    tx: DataFrame, start, untils: Sequence, is_train: bool, spec: RollingSpec = RollingSpec(), decimals: int | None = None
+) -> DataFrame:
+    """Rolling data sets at several cutoffs below each other, named by ``until``, from one scan of the lines."""
+    return rolling_features_at(daily_sums(tx, start, decimals=decimals), untils, spec, label=is_train)
+
+
 def build_dataset(tx: DataFrame, until, is_train: bool, kind: str = "snapshot", **settings) -> DataFrame:
     if kind == "snapshot":
         return snapshot_dataset(tx, until, is_train, **settings)

@@ -86,9 +86,12 @@ def order_line_file_schema() -> T.StructType:
 class SnapshotSpec:
     """Settings of the per-customer snapshot features.
 
-    ``order`` defines "last": pay time first, then whatever breaks its ties. ``nullable`` lists the
-    columns whose last value may have to come from an earlier row; ``None``, the safe default, means any of
-    them. Naming them (``NULLABLE_COLUMNS``) is faster, and raises an error where another column holds a null.
+    ``order`` defines "last": pay time first, then whatever breaks its ties. It should name each line of a customer;
+    where lines share all of it, set ``packed`` to False, and the larger value counts. ``packed`` turns the order into one
+    number, for which its columns are measured first; an order too wide for that is compared as it is. Only then
+    ``nullable`` matters: it lists the columns whose last value may have to come from an earlier row; ``None``, the
+    safe default, means any of them. Naming them (``NULLABLE_COLUMNS``) is faster, and raises an error where another
+    column holds a null.
     ``money_decimals`` switches sums and means of money to exact sums in units of 10**-decimals,
     which do not depend on the order of addition. ``goods_num`` and ``discount_ratio`` choose between
     the two published feature lists.
@@ -96,6 +99,7 @@ class SnapshotSpec:
 
     epoch: date = date(2012, 10, 11)
     order: tuple[str, ...] = ("order_pay_time", "order_id", "order_detail_id")
+    packed: bool = True
     nullable: tuple[str, ...] | None = None
     money_decimals: int | None = None
     goods_num: bool = True
@@ -106,6 +110,7 @@ class SnapshotSpec:
 class RollingSpec:
     """Settings of the rolling-window features; all windows end on the day before ``until``."""
 
+    # Window lengths, shift, decay and horizon of the published features.
     payment_windows: tuple[int, ...] = (14, 30, 60, 91)
     goods_windows: tuple[int, ...] = (21, 49, 84)
     shift: int = 7

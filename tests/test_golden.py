@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repurchase.functions import expressions as X
+from repurchase.functions import ordering
 from repurchase.functions.windows import DayWindow
 from repurchase.operators import clean, clusters, decisions, labels, metrics, profile, rolling, selection, snapshot, splits
 from repurchase.operators.ranking import running_totals
@@ -67,9 +69,51 @@ def test_declared_columns_with_nulls_are_refused_and_undeclared_ones_handled(spa
         {"customer_id": 7, "order_detail_id": 2, "order_pay_time": at(2), "order_amount": None},
     )
     with pytest.raises(Exception, match="order_amount holds nulls"):
-        snapshot.snapshot_features(tx, "2024-01-31", SnapshotSpec(nullable=NULLABLE_COLUMNS)).collect()
+        snapshot.snapshot_features(tx, "2024-01-31", SnapshotSpec(nullable=NULLABLE_COLUMNS, packed=False)).collect()
     # A malformed cell became null on reading; by default the value before it counts.
-    assert snapshot.snapshot_features(tx, "2024-01-31").first()["order_amount_last"] == 5.0
+    for spec in (SnapshotSpec(), SnapshotSpec(packed=False), SnapshotSpec(nullable=NULLABLE_COLUMNS)):
+        assert snapshot.snapshot_features(tx, "2024-01-31", spec).first()["order_amount_last"] == 5.0
+
+
+WIDE = "time timestamp_ntz, a long, b double, c date, v int"
+
+
+@pytest.mark.parametrize("reach, packs", [(9, "long"), (10**14, "decimal"), (2**62, None)])
+def test_packed_orders_equal_the_struct(spark, reach, packs):
+    rng = random.Random(reach)
+    rows = [
+        (
+            None if i % 9 == 0 else datetime(2024, 1, 1 + rng.randrange(28), microsecond=rng.randrange(2) if packs == "decimal" else 0),
+            None if i % 7 == 0 else rng.randrange(-reach, reach),
+            None if i % 5 == 0 else float(rng.randrange(-reach, reach)) if packs != "decimal" else float(rng.randrange(-9, 9)),
+            None if i % 4 == 0 else date(2024, 2, 1 + rng.randrange(20)),
+            i,
+        )
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, WIDE)
+    order = ("time", "a", "b", "c", "v")
+    key = ordering.packed(df, order, ordering.spans(df, order))
+    if packs is None:
+        assert key is None
+        return
+    keyed = df.withColumn("key", key)
+    assert dict(keyed.dtypes)["key"] == {"long": "bigint", "decimal": "decimal(38,0)"}[packs]
+    got = [r.v for r in keyed.orderBy("key").collect()]
+    assert got == [r.v for r in df.orderBy(F.struct(*order)).collect()]
+    assert keyed.select("key").distinct().count() == len(rows)
+
+
+def test_spans_take_the_widest_unit_and_refuse_what_lies_outside(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 5), 0.5, "x"), (datetime(1969, 12, 30), 2.0, "y")], "t timestamp_ntz, d double, s string")
+    known = ordering.spans(df, ("t", "d", "s"))
+    assert known == {"t": ordering.Span(-2, 19727, "DAY")}
+    assert ordering.packed(df, ("t", "s"), known) is None
+    later = spark.createDataFrame([(datetime(2024, 1, 6),), (datetime(2024, 1, 5, 0, 0, 1),)], "t timestamp_ntz")
+    with pytest.raises(Exception, match="outside the span"):
+        later.select(ordering.packed(later, ("t",), known)).collect()
+    both = ordering.merged(known, ordering.spans(later, ("t",)))
+    assert both["t"].unit == "SECOND" and later.select(ordering.packed(later, ("t",), both)).distinct().count() == 2
 
 
 def test_single_line_and_all_null_columns(spark):

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from repurchase.catalog import load
 from repurchase.catalog.fixtures import SNAPSHOT, START, UNTIL, event_lines, order_lines, table
+from repurchase.functions.ordering import spans
 from repurchase.operators.labels import history, label_future, since
+from repurchase.operators.months import month_state, save_state, snapshot_from_months
 from repurchase.operators.rolling import daily_sums, rolling_features
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.plans.dataset import snapshot_dataset
+from repurchase.schema import SnapshotSpec
 from repurchase.sources.transactions import read_transactions, save_transactions
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -40,6 +43,27 @@ def test_snapshot_needs_one_shuffle(stored):
     assert exchanges(snapshot_features(stored, UNTIL)) == ["hashpartitioning"]
 
 
+def test_snapshot_runs_as_hash_aggregates(spark, stored):
+    for features in (snapshot_features(stored, UNTIL), load()["snapshot_all"].run(spark, SF_DIR), load()["l3_train_set"].run(spark, SF_DIR)):
+        text = plan(features)
+        assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_months_before_the_cutoff_come_from_the_state(spark, stored, tmp_path):
+    known = spans(stored, SnapshotSpec().order)
+    save_state(month_state(stored, known=known), str(tmp_path / "state"))
+    state = spark.read.parquet(str(tmp_path / "state"))
+    features = snapshot_from_months(state, stored, "2001-03-14 12:00:00", known=known)
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan(features))
+    assert len(scans) == 2
+    assert any(re.search(r"pay_month#\d+ < 200103", s) for s in scans) and any(re.search(r"pay_month#\d+ = 200103", s) for s in scans)
+    # Replacing one month leaves the others.
+    months = state.select("pay_month").distinct().count()
+    save_state(month_state(stored.where("pay_month = 200101"), known=known).limit(3), str(tmp_path / "state"), "overwrite")
+    again = spark.read.parquet(str(tmp_path / "state"))
+    assert again.select("pay_month").distinct().count() == months and again.where("pay_month = 200101").count() == 3
+
+
 def test_label_join_reuses_the_partitioning_of_the_features(stored):
     found = exchanges(snapshot_dataset(stored, UNTIL, True))
     # Features by customer, later buyers by customer; none for the join itself.
@@ -70,7 +94,7 @@ def test_aggregates_of_numbers_are_hashed(spark):
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
-# Queries whose single-task steps see one row per column, class, bin, cluster or range partition only.
+# Queries whose single-task steps see one row per column, class, bin, cluster or slice only.
 RANKED = ("m4_topn_sweep", "m5_label_top_n", "m8_auc", "t1_stratified", "t2_ordered")
 
 
@@ -82,6 +106,28 @@ def test_no_window_over_everything(spark, name):
         assert ", [], [" not in window and not window.endswith(", []")
 
 
+@pytest.mark.parametrize("name", (*RANKED, "p2_describe_numeric", "p5_summary_table", "repeat_buyer_ranking"))
+def test_nothing_is_range_sorted_but_small_reports(spark, name):
+    text = plan(load()[name].run(spark, SF_DIR))
+    # A summary table is shown in order: one row per column.
+    assert text.count("rangepartitioning") == (name == "p5_summary_table")
+    # A checkpoint would show; the one row of quantiles per column does in the profiles.
+    assert "ExistingRDD" not in text or name.startswith("p")
+
+
+@pytest.mark.parametrize("name", ("m8_auc", "t1_stratified"))
+def test_building_the_query_starts_no_job(spark, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"building {name}", "")
+    load()[name].run(spark, SF_DIR)
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"building {name}"))
+    context.setJobGroup(f"opening {name}", "")
+    table(spark, SF_DIR, "events" if name == "m8_auc" else "customer")
+    opened = len(context.statusTracker().getJobIdsForGroup(f"opening {name}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2 * opened
+
+
 def test_customers_are_read_only_when_needed(spark):
     assert "customer" not in plan(order_lines(spark, SF_DIR, "customer_id", "order_pay_time")).replace("customer_id", "")
     assert "lineitem" not in plan(table(spark, SF_DIR, "orders"))

@@ -17,7 +17,7 @@ from repurchase.operators.ranking import exact_quantiles, running_totals, with_p
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.operators.splits import ordered_split, stratified_split
 from repurchase.operators.training import score, train_gbt
-from repurchase.runtime import join_lookup
+from repurchase.runtime import join_null_safe
 from repurchase.schema import GbtParams
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -81,10 +81,14 @@ def test_ordered_split(hot):
     assert rest.agg(F.min("id"), F.count("*")).first()[:] == (2400, 600)
 
 
-def test_lookup_beyond_its_bound_gives_the_same_rows(spark, hot):
-    names = spark.createDataFrame([("big", 1), ("small", 2)], "class string, code int")
-    sent, joined = (join_lookup(hot, names, ["class"], max_rows=n) for n in (10, 1))
-    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, joined.collect()))
+def test_null_keys_meet_null_keys(spark, hot):
+    names = spark.createDataFrame([("big", 1), ("small", 2), (None, 3)], "class string, code int")
+    some = hot.select("id", F.when(F.col("id") % 5 != 0, F.col("class")).alias("class"))
+    joined = join_null_safe(some, names, ["class"])
+    assert joined.columns == ["id", "class", "code"] and joined.count() == 3000
+    assert {(r["class"], r.code) for r in joined.collect()} == {("big", 1), ("small", 2), (None, 3)}
+    few = join_null_safe(some, names.where("code = 2"), ["class"], "left")
+    assert few.where("code is null").count() == 3000 - some.where("class = 'small'").count()
 
 
 @FEW
