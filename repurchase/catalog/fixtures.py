@@ -99,7 +99,7 @@ def order_spans(spark: SparkSession, sf_dir: str) -> dict[str, Span]:
     """Spans of the columns that order lines, measured on the tables they come from, without a join."""
     lines = table(spark, sf_dir, "lineitem").select(*[F.expr(ORDER_LINES[c][0]).alias(c) for c in ORDER[1:]])
     orders = table(spark, sf_dir, "orders").select(F.expr(ORDER_LINES[ORDER[0]][0]).alias(ORDER[0]))
-    return spans(orders, ORDER[:1]) | spans(lines, ORDER[1:])
+    return spans(orders, ORDER[:1], (lines, ORDER[1:]))
 
 
 # Events as dense order lines: the value is paid, a purchase counts as quantity 1.

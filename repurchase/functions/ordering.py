@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import prod
 
 from pyspark.sql import Column, DataFrame
@@ -54,26 +55,37 @@ def _packable(kind: T.DataType) -> bool:
     return isinstance(kind, (*_WHOLE, *_FLOATING, T.TimestampNTZType, T.TimestampType, T.DateType))
 
 
-def spans(df: DataFrame, columns: Sequence[str]) -> dict[str, Span]:
-    """The spans of those columns that can be packed, from one scan without shuffle.
+def _measures(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Aggregate: per column its name, smallest and largest image, and whether all values are multiples of two units."""
+    entries = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        value, image = F.col(c), _image(F.col(c), kind)
+        if isinstance(kind, _FLOATING):
+            first = second = F.bool_and((value == F.rint(value)) & (F.abs(value) < float(1 << 53)))
+        elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+            first, second = (F.bool_and(image % F.lit(width) == 0) for _, width in _UNITS[:2])
+        else:
+            first = second = F.lit(True)
+        entries.append(F.struct(F.lit(c).alias("c"), F.min(image).alias("low"), F.max(image).alias("high"), first.alias("first"), second.alias("second")))
+    return F.array(*entries)
+
+
+def spans(df: DataFrame, columns: Sequence[str], *more: tuple[DataFrame, Sequence[str]]) -> dict[str, Span]:
+    """The spans of those columns that can be packed, from one scan without shuffle, or one each of several tables.
 
     Times take the widest unit of which all values are multiples (days, seconds, microseconds). Floating-point columns
     can be packed if they hold whole numbers only.
     """
-    kinds = {c: df.schema[c].dataType for c in columns}
-    asked = [c for c in columns if _packable(kinds[c])]
-    entries = []
-    for c in asked:
-        value, image = F.col(c), _image(F.col(c), kinds[c])
-        if isinstance(kinds[c], _FLOATING):
-            even = F.bool_and((value == F.rint(value)) & (F.abs(value) < float(1 << 53)))
-            entries.append(F.struct(F.min(image), F.max(image), even, even))
-        else:
-            whole = [F.bool_and(image % F.lit(width) == 0) for _, width in _UNITS[:2]]
-            entries.append(F.struct(F.min(image), F.max(image), *whole))
-    found = df.agg(*entries).first() if entries else ()
+    parts, kinds = [], {}
+    for table, names in ((df, columns), *more):
+        asked = [c for c in names if _packable(table.schema[c].dataType)]
+        kinds |= {c: table.schema[c].dataType for c in asked}
+        if asked:
+            parts.append(table.agg(_measures(table, asked).alias("r")))
     out = {}
-    for c, (low, high, first, second) in zip(asked, found):
+    rows = [e for r in reduce(DataFrame.unionByName, parts).collect() for e in r.r] if parts else []
+    for c, low, high, first, second in rows:
         if low is None:
             out[c] = Span(0, 0)
         elif isinstance(kinds[c], (T.TimestampNTZType, T.TimestampType)):
@@ -81,7 +93,7 @@ def spans(df: DataFrame, columns: Sequence[str]) -> dict[str, Span]:
             days = first and isinstance(kinds[c], T.TimestampNTZType)
             unit, width = _UNITS[0 if days else 1 if second else 2]
             out[c] = Span(low // width, high // width, unit)
-        elif not isinstance(kinds[c], _FLOATING) or first:
+        elif first:
             out[c] = Span(low, high)
     return out
 

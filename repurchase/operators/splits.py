@@ -70,12 +70,16 @@ def ordered_split(df: DataFrame, key: str, share: float) -> tuple[DataFrame, Dat
 
     Brackets find the last key of the first part; the rows are filtered by it where they are.
     """
-    rows, keyed = df.agg(F.count("*"), F.count(key)).first()
-    taken = math.floor(rows * share)
-    # Of the rows with a key, those that are left after the ones without.
-    last = taken - (rows - keyed)
-    early = F.lit(taken > 0) & F.col(key).isNull()
-    if last > 0:
-        cut = ranked_values(df.select(key), {key: [last - 1]}, {key: keyed})[key][last - 1]
-        early = early | F.coalesce(F.col(key) <= F.lit(cut), F.lit(False))
+    keys = df.select(key).persist()
+    try:
+        rows, keyed = keys.agg(F.count("*"), F.count(key)).first()
+        taken = math.floor(rows * share)
+        # Of the rows with a key, those that are left after the ones without.
+        last = taken - (rows - keyed)
+        early = F.lit(taken > 0) & F.col(key).isNull()
+        if last > 0:
+            cut = ranked_values(keys, {key: [last - 1]}, {key: keyed})[key][last - 1]
+            early = early | F.coalesce(F.col(key) <= F.lit(cut), F.lit(False))
+    finally:
+        keys.unpersist()
     return df.where(early), df.where(~early)

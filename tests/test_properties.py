@@ -11,9 +11,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from repurchase.catalog.fixtures import SNAPSHOT, UNTIL, order_lines, table
-from repurchase.operators import clusters, metrics
+from repurchase.functions.ordering import spans
+from repurchase.operators import clusters, metrics, ranking
 from repurchase.operators.decisions import label_top_n
 from repurchase.operators.ranking import exact_quantiles, running_totals, with_position
+from repurchase.operators.months import month_state, snapshot_from_months
+from repurchase.operators.rolling import daily_sums, rolling_features, rolling_features_at
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.operators.splits import ordered_split, stratified_split
 from repurchase.operators.training import score, train_gbt
@@ -21,9 +24,16 @@ from repurchase.runtime import join_null_safe
 from repurchase.schema import GbtParams
 
 SF_DIR = "/root/testdata/sf0.001"
+TX = ("customer_id", "order_pay_time", "order_total_payment", "order_total_num")
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
+@pytest.fixture
+def monkeypatch_module(monkeypatch):
+    """One that hypothesis may use in several examples of a test."""
+    return monkeypatch
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """3,000 rows over 16 partitions: a third share one score, a third one class."""
@@ -149,3 +159,74 @@ def test_trees_find_a_planted_signal_and_repeat(spark):
         runs.append(sorted(map(tuple, scores.collect())))
         assert metrics.roc_auc(scores, "label", "score").first()[0] > 0.9
     assert runs[0] == runs[1]
+
+
+@FEW
+@given(
+    st.lists(st.one_of(st.none(), st.integers(-3, 3), st.integers(-(2**62), 2**62)), min_size=1, max_size=80),
+    st.integers(1, 9),
+)
+def test_ranks_by_brackets_equal_sorting(spark, monkeypatch_module, values, few):
+    """With next to nothing gathered or drawn, so that brackets have to narrow round by round."""
+    monkeypatch_module.setattr(ranking, "FEW", few)
+    monkeypatch_module.setattr(ranking, "DRAWN", (3, 5))
+    df = spark.createDataFrame([(v, None if v is None else f"k{v}") for v in values], "n long, s string").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    texts = sorted(f"k{v}" for v in known)
+    every = list(range(len(known)))
+    found = ranking.ranked_values(df, {"n": every, "s": every[::3]}, {"n": len(known), "s": len(known)})
+    assert found["n"] == dict(enumerate(known))
+    assert found["s"] == {r: texts[r] for r in every[::3]}
+
+
+def test_cuts_among_equal_missing_and_nan_scores(spark, monkeypatch_module):
+    monkeypatch_module.setattr(ranking, "FEW", 20)
+    monkeypatch_module.setattr(ranking, "DRAWN", (30, 40))
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0.5, 0.5, 0.25, None, float("nan"), float("-inf"), -0.0, 0.0, round(rng.random(), 2)])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, score double").repartition(5)
+    missing = lambda s: s is None or s != s
+    order = sorted(rows, key=lambda r: (missing(r[1]), 0 if missing(r[1]) else -r[1], r[0]))
+    ns = [0, 1, 2, 60, 300, 333, 480, 650, 699, 700, 701]
+    cuts = ranking.cut_rows(df, "score", "id", ns)
+    assert cuts[0] is None and cuts[701] is None
+    for n in ns[1:-1]:
+        chosen = df.where(ranking.upto_cut(df, "score", "id", cuts[n]))
+        assert {r.id for r in chosen.collect()} == {i for i, _ in order[:n]}
+        assert label_top_n(df, "score", n, "id").where("result = 1").count() == n
+
+
+@FEW
+@given(st.lists(st.floats(allow_nan=False), min_size=2, max_size=200))
+def test_slices_rise_with_the_value(spark, values):
+    df = spark.createDataFrame([(v,) for v in sorted(values)], "v double")
+    rows = df.select("v", ranking.number_slice(F.col("v"), 64).alias("s")).collect()
+    ordered = sorted(rows, key=lambda r: r.v)
+    assert all(a.s <= b.s for a, b in zip(ordered, ordered[1:]))
+    totals = ranking.sliced_totals(df, {"n": F.lit(1)}, [F.col("v")], ranking.number_slice(F.col("v"), 64))
+    assert sorted(r.n for r in totals.collect()) == list(range(1, len(values) + 1))
+
+
+def test_many_cutoffs_equal_single_runs(spark):
+    daily = daily_sums(order_lines(spark, SF_DIR, *TX), "2000-01-01", decimals=4).persist()
+    untils = ("2000-01-02", "2000-09-17", "2001-07-02", "2003-01-01")
+    many = rolling_features_at(daily, untils, label=True)
+    for until in untils:
+        one = rolling_features(daily, until, label=True)
+        got = many.where(F.col("until") == F.lit(until).cast("date")).select(one.columns)
+        rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in one.dtypes]
+        assert got.count() == one.count()
+        assert got.select(rounded).exceptAll(one.select(rounded)).count() == 0
+
+
+def test_months_merge_to_the_same_features(spark):
+    """Any split into months, a single one included, gives the features of all lines; deviations of large values, too."""
+    tx = order_lines(spark, SF_DIR).where("customer_id <= 40").withColumn("goods_price", F.col("goods_price") + 1e7)
+    known = spans(tx, SNAPSHOT.order)
+    state = month_state(tx, SNAPSHOT, known).persist()
+    for until in ("1995-01-10 00:00:00", "1998-06-01 00:00:00", UNTIL, "2030-01-01 00:00:00"):
+        want = snapshot_features(tx, until, SNAPSHOT, known)
+        got = snapshot_from_months(state, tx, until, SNAPSHOT, known).select(want.columns)
+        rounded = [F.round(c, 5).alias(c) if c.endswith("_std") else F.col(c) for c in want.columns]
+        assert want.count() == got.count()
+        assert want.select(rounded).exceptAll(got.select(rounded)).count() == 0
