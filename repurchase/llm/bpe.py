@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repurchase.llm.storage import stored
+
 LEAF_CHARS = 8192
 SPREAD_CHARS = 65_536
 # At least the length of the longest special token, so that a window sees whole the ones that a cut divides.
@@ -295,7 +297,8 @@ def encode_documents(
         return pa.Table.from_arrays(columns, names=["_row"] + [f.name for f in _fields(outputs)])
 
     is_long = F.length("_text") > spread
-    long = rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
+    # Stored, as the number of a row must be the same for its pieces and for the columns kept.
+    long = stored(rows.where(is_long).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
     pieces = long.select("_row", "_text").mapInArrow(cut, "_row long, _at int, _text string")
     pieces = pieces.repartition("_row", "_at").mapInArrow(
         leaves, "_row long, _at int, _text string, starts array<int>, ends array<int>, ids array<string>, tokens array<string>"

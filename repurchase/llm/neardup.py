@@ -326,10 +326,13 @@ def near_duplicates(documents: DataFrame, k: int = K, block_shingles: int = BLOC
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those that are near-duplicates of one with a smaller doc_id.
+    """The documents without those that are near-duplicates of one that comes earlier by (doc_id, row), null ids last.
 
-    Of rows with one doc_id, one stays. Rows without a doc_id cannot be named as a duplicate and stay.
+    Rows are told apart by a stored number, so rows that share a doc_id, or have none, are judged by their texts alone.
     """
-    verdict = near_duplicates(documents).where("kept").select("doc_id").distinct()
-    kept = documents.join(verdict, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    # Packed, so that no column can clash with the row number.
+    rows = stored(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*documents.columns).alias("document")), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("document.text").alias("text")))
+    named = rows.select("row", F.col("document.doc_id").alias("doc_id")).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select("document.*")

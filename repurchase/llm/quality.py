@@ -150,20 +150,26 @@ def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delt
     )
     tuning = labelled.where("tuning")
     shares = F.array(*[F.lit(1.0 - s) for s in SHARES])
-    quantiles = (
+    # Quantiles and levels are stored, so that Spark knows their size before it chooses how to join them: a row per
+    # stratum and level need not move the labelled rows, of which one language may hold most.
+    quantiles = stored(
         tuning.where("good")
         .groupBy("stratum")
         .agg(F.array(*[F.percentile_approx(value(r), shares, 10_000) for r in RULES]).alias("at"))
         .select("stratum", "at", F.explode(F.array(*[F.lit(i) for i in range(len(SHARES))])).alias("level"))
-        .select("stratum", "level", F.transform("at", lambda x: F.element_at(x, F.col("level") + 1)).alias("at"))
+        .select("stratum", "level", F.transform("at", lambda x: F.element_at(x, F.col("level") + 1)).alias("at")),
+        "quantiles",
     )
     balance = [
         F.sum(F.when(value(r) > F.col("at")[i], F.when(F.col("good"), -1).otherwise(1)).otherwise(0)) for i, r in enumerate(RULES)
     ]
     useful = tuning.join(quantiles, "stratum").groupBy("stratum", "level", "at").agg(F.array(*balance).alias("gain"))
-    levels = useful.select(
-        "stratum", "level", F.zip_with("at", "gain", lambda c, g: F.when(g > 0, c)).alias("cutoffs")
-    ).where(F.exists("cutoffs", lambda c: c.isNotNull()))
+    levels = stored(
+        useful.select("stratum", "level", F.zip_with("at", "gain", lambda c, g: F.when(g > 0, c)).alias("cutoffs")).where(
+            F.exists("cutoffs", lambda c: c.isNotNull())
+        ),
+        "levels",
+    )
     out = beyond(F.col("cutoffs"))
     tested = (
         labelled.where("not tuning")

@@ -3,9 +3,10 @@
 Documents are nodes, and documents of one link group (equal texts) are neighbours of each other. A label is a
 shard. Each round counts the members of every group per shard, which stands for all edges of the group at once;
 members elsewhere ask to move to the shards with most neighbours that still have room; requests are admitted by
-gain until the quota of the shard is used up. Groups larger than a shard fill several ones. Documents without
-neighbours, and members that stayed in a shard above its quota, are then dealt out by falling size so that all
-shards end with nearly equal bytes.
+gain until the quota of the shard is used up, round by round until none moves. Groups larger than a shard fill several
+ones. Groups that would fit into a shard but are still cut then move as a whole, like single documents of their size; with
+documents without neighbours, and members that shards above their quota give back, they are dealt out by falling size
+so that all shards end with nearly equal bytes.
 
 Defined results: a null text counts 16 bytes, has checksum 0 and no neighbours; rows with a null or repeated doc_id
 are rows of their own; an empty table gives no rows. Other columns are not looked at.
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 from repurchase.llm.storage import spread, stored, with_start
 
 OVERHEAD_BYTES = 16
-ROUNDS = 4
+# Rounds at most; propagation ends when a round moves nothing.
+ROUNDS = 8
+# Groups of up to this share of a shard are kept whole.
+WHOLE = 1 / 8
 # Levels of priority within which requests are admitted as a whole, or by the same fraction.
 LEVELS = 512
 
@@ -85,7 +89,8 @@ def propagate(linked: DataFrame, shards: int, quota: float, rounds: int = ROUNDS
                 F.concat(a["list"], F.array(F.struct((a["end"] + x["more"]).alias("end"), x["shard"].alias("shard"), x["n"].alias("n")))).alias("list"),
             ),
         )["list"]
-        groups = groups.where("asked > 0").withColumn("to", sums)
+        # Stored, so that the join has an exchange of its own on both sides and a hot group can be split.
+        groups = stored(groups.where("asked > 0").withColumn("to", sums))
         own = F.element_at("held", F.col("shard"))
         leaves = (own["bytes"] > own["goal"]) & (F.col("pick") >= own["goal"] / own["bytes"])
         place = F.element_at(F.filter("to", lambda x: x["end"] >= F.col("point")), 1)
@@ -110,11 +115,13 @@ def propagate(linked: DataFrame, shards: int, quota: float, rounds: int = ROUNDS
             "to", "level",
             ((of_shard(room, "to") - F.coalesce(F.sum("bytes").over(first), F.lit(0))) / F.col("bytes")).alias("share"),
         ).where("share > 0")
-        moves = (
+        moves = stored(
             asking.join(admitted, ["to", "level"])
             .where(unit("row", F.lit(f"admit{turn}")) < F.col("share"))
             .select("row", F.col("to").alias("new"))
         )
+        if moves.isEmpty():
+            break
         state = stored(
             state.join(moves, "row", "left").withColumn("shard", F.coalesce("new", "shard").cast("int")).drop("new")
         )
@@ -169,11 +176,27 @@ def shard_documents(documents: DataFrame, shards: int = 40, rounds: int = ROUNDS
     state = propagate(linked.select("row", "size", "link"), shards, quota, rounds)
     held = loads(state, shards)
     keep = of_shard([min(1.0, quota / x) if x else 1.0 for x in held], "shard")
-    state = state.withColumn("stays", unit("row", F.lit("stay")) < keep)
-    kept = stored(state.where("stays").select("row", "shard", "size"))
-    free = alone.select("row", "size").unionByName(state.where("not stays").select("row", "size"))
-    filled = level_out(stored(free), loads(kept, shards), quota, shards, buckets)
-    shard_of = kept.select("row", "shard").unionByName(filled.select("row", F.col("shard").cast("int").alias("shard")))
+    groups = stored(
+        state.groupBy("link").agg(
+            F.sum("size").alias("bytes"), F.min("row").alias("first"), (F.min("shard") != F.max("shard")).alias("cut")
+        )
+    )
+    state = state.join(groups, "link")
+    whole = F.col("bytes") <= quota * WHOLE
+    # Small groups stay or go as one.
+    drawn = F.when(whole, unit("link", F.lit("stay"))).otherwise(unit("row", F.lit("stay")))
+    state = stored(state.withColumn("whole", whole).withColumn("stays", ~(whole & F.col("cut")) & (drawn < keep)))
+    kept = state.where("stays").select("row", "shard", "size")
+    used = loads(kept, shards)
+    units = state.where("not stays and whole and row = first").select("row", "link", F.col("bytes").alias("size"))
+    placed = stored(level_out(stored(units.select("row", "size")), used, quota, shards, buckets))
+    used = [a + b for a, b in zip(used, loads(placed, shards))]
+    shard_of_link = stored(units.select("row", "link").join(placed.select("row", "shard"), "row").select("link", "shard"))
+    moved = state.where("not stays and whole").select("row", "link").join(shard_of_link, "link")
+    free = alone.select("row", "size").unionByName(state.where("not stays and not whole").select("row", "size"))
+    filled = level_out(stored(free), used, quota, shards, buckets)
+    shard_of = kept.select("row", "shard").unionByName(moved.select("row", F.col("shard").cast("int").alias("shard")))
+    shard_of = shard_of.unionByName(filled.select("row", F.col("shard").cast("int").alias("shard")))
     out = stored(
         rows.join(shard_of, "row")
         .withColumn("bucket", spread("row", F.lit(9), buckets=buckets))

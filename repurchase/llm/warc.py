@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repurchase.llm.storage import scratch
+from repurchase.llm.storage import scratch, stored
 
 # Fixed values of the format: frame magics, little endian.
 FRAME = 0xFD2FB528
@@ -59,12 +59,14 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, body, digest, record_type, refers_to."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body"), F.sha2(body, 256).alias("digest"))
-    first = (
+    # Stored, so that the join has an exchange of its own on both sides and a payload of very many pages can be split.
+    first = stored(
         rows.where(F.octet_length("body") >= min_bytes)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select(F.col("digest").alias("key"), "first")
+        .select(F.col("digest").alias("key"), "first"),
+        "first-pages",
     )
     # Short payloads never have a partner; a key of their own keeps them apart.
     key = F.when(F.octet_length("body") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hash("url")))

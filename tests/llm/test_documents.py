@@ -403,3 +403,31 @@ def test_personal_data(spark, none):
     left = {r.doc_id: r.text for r in clean.collect()}
     assert left[33].startswith("mail me at [EMAIL] or [PHONE], ip [IP] and 300.1.1.1") and left[20] is None
     assert pii.find_spans(none, "doc_id").count() == 0
+
+
+def test_keep_one_tells_rows_apart_that_share_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    near = words.replace("w7 ", "changed ")
+    rows = [
+        (1, words, "en", "s"), (1, "another text of its own " * 3, "en", "s"), (2, near, "en", "s"), (None, words, "en", "s"),
+        (None, "no id but text of its own", "en", "s"), (None, "no id but text of its own", "en", "s"), (7, None, "en", "s"), (7, None, "en", "s"),
+    ]
+    kept = neardup.keep_one(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    # One of each group of near-duplicates, the smallest id first; texts without words are linked with nothing.
+    got = bag((r.doc_id, r.text) for r in kept.collect())
+    assert got == bag([rows[0][:2], rows[1][:2], rows[4][:2], (7, None), (7, None)])
+
+
+def test_sharding_keeps_small_groups_whole(spark):
+    """Groups of two to nine members of different sizes: hardly any is cut, and the bytes stay level."""
+    rows = [(20 * i + j, f"group {i} " + "x" * (100 + 37 * i % 900), "en", "s") for i in range(200) for j in range(2 + i % 8)]
+    rows += [(100_000 + i, f"alone {i} " + "z" * (i % 700), "en", "s") for i in range(600)]
+    got = sharding.shard_documents(documents(spark, rows), shards=6, buckets=16).collect()
+    bytes_, groups = Counter(), defaultdict(set)
+    for r in got:
+        bytes_[r.shard] += r["size"]
+        groups[r.text_crc32].add(r.shard)
+    mean = sum(bytes_.values()) / 6
+    assert all(abs(b - mean) <= 0.02 * mean for b in bytes_.values())
+    assert sum(len(s) > 1 for s in groups.values()) <= 2
