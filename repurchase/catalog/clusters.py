@@ -150,6 +150,22 @@ def _(spark, sf_dir):
     return projected
 
 
+# Signs of components are free, but a full rotation keeps every point's distance from the common mean.
+TURNED = (
+    f"{FIT}, stacked as (select 'row' as kind, vec_id as id, list_transform(embedding, lambda x: x::double) as p from embeddings"
+    f" union all select 'centroid', cluster, center from {LAST_C}), cells as (select kind, id, dim, p[dim] as x from stacked"
+    " cross join range(1, 65) as r(dim)), means as (select dim, avg(x) as m from cells group by 1)"
+    " select kind, id::bigint as id, round(sum((x - m) * (x - m)), 6) as squares from cells join means using (dim) group by 1, 2"
+)
+
+
+@query("k7_pca_keeps_distances", TURNED)
+def _(spark, sf_dir):
+    projected, _ = K.pca_project(points(spark, sf_dir), fitted(spark, sf_dir), 64, "vec_id")
+    squares = F.aggregate("components", F.lit(0.0), lambda a, x: a + x * x)
+    return projected.select("kind", "id", F.round(squares, 6).alias("squares"))
+
+
 @query(
     "s6_centroids",
     f"{FIT}, {LABELS} select cluster, label, round(list_sum(center), 6) as total from {LAST_C} join labels using (cluster)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from repurchase.operators import selection as S
 from repurchase.operators.rolling import rolling_features
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.splits import ordered_split, with_holdout
+from repurchase.runtime import scratch_path
+from repurchase.sources.storage import load_statistics, save_features
 
 # Windows one week earlier stand in for the training table whose ranges are reused.
 EARLIER = "2024-01-15"
@@ -46,6 +49,15 @@ def _(spark, sf_dir):
     return rounded(minmax_scale(features_at(spark, sf_dir, DENSE_UNTIL), SCALED))
 
 
+@query("n1_minmax_from_statistics", scaled_sql("earlier", SCALED))
+def _(spark, sf_dir):
+    """The later table scaled to the range of the earlier one, which was measured while it was stored."""
+    now, earlier = (features_at(spark, sf_dir, until) for until in (DENSE_UNTIL, EARLIER))
+    path = scratch_path(spark, "features")
+    save_features(earlier, path, measure=True)
+    return rounded(minmax_scale(now, SCALED, known=load_statistics(spark, path)))
+
+
 @query("n1_minmax_train_range", scaled_sql("earlier", SCALED))
 def _(spark, sf_dir):
     now, earlier = (features_at(spark, sf_dir, until) for until in (DENSE_UNTIL, EARLIER))
@@ -102,11 +114,41 @@ def _(spark, sf_dir):
     return rounded(S.mutual_info(embedding_columns(spark, sf_dir), NAMES, "label", BINS))
 
 
+CUTS = 10
+BY_RANK = (
+    f"{CELLS}, cuts as (select feature, quantile_cont(x, [{', '.join(f'{i} / {CUTS}.0' for i in range(1, CUTS))}]) as at from cells group by 1),"
+    " binned as (select feature, label, len(list_filter(at, lambda c: c < x)) as bin from cells join cuts using (feature)),"
+    " joint as (select feature, bin, label, count(*) as n from binned group by 1, 2, 3),"
+    " sized as (select feature, n, sum(n) over (partition by feature) as total, sum(n) over (partition by feature, bin) as"
+    " in_bin, sum(n) over (partition by feature, label) as in_class from joint)"
+    " select feature, round(sum(n / total * ln(n::double * total / (in_bin::double * in_class))), 6) as score from sized group by 1"
+)
+
+
+@query("n3_mutual_info_exact_quantiles", f"with {BY_RANK}")
+def _(spark, sf_dir):
+    return rounded(S.mutual_info(embedding_columns(spark, sf_dir), NAMES, "label", CUTS, method="quantile", error=0.0))
+
+
 @query("n3_mutual_info_quantile")
 def _(spark, sf_dir):
     return rounded(S.mutual_info(embedding_columns(spark, sf_dir), NAMES, "label", 10, method="quantile"))
 
 
+@query(
+    "n4_selected_features",
+    f"with {ANOVA}, chosen as (select feature from scores order by score desc, feature limit 5)"
+    " select vec_id, label, feature, x from raw join chosen using (feature)",
+)
+def _(spark, sf_dir):
+    """The five features with the highest F statistic; told in long form, as the names depend on the data."""
+    wide = embedding_columns(spark, sf_dir)
+    names = [r["feature"] for r in S.select_top(rounded(S.anova_scores(wide, NAMES, "label")), 5).collect()]
+    chosen = S.apply_selection(wide, names, ["vec_id", "label"])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in names])
+    return chosen.select("vec_id", "label", F.inline(cells))
+
+
 @query(
     "n4_apply_selection",
     "select vec_id, label, embedding[4]::double as f03, embedding[8]::double as f07 from embeddings",
@@ -116,10 +158,19 @@ def _(spark, sf_dir):
 
 
 @query("n5_assemble")
-def _(spark, sf_dir):
+def assembled(spark, sf_dir):
     return S.assemble(embedding_columns(spark, sf_dir).na.fill(0.0), NAMES).select("vec_id", "features")
 
 
+@query(
+    "n5_assemble_as_array",
+    "select vec_id, list_transform(embedding, lambda x, i: case when i = 1 and vec_id % 50 = 0 then 0.0::double else x::double end)"
+    " as features from embeddings",
+)
+def _(spark, sf_dir):
+    return assembled(spark, sf_dir).select("vec_id", vector_to_array("features").alias("features"))
+
+
 def holdout_sql(share: float, seed: int) -> str:
     return (
         f"with {TX}, {LABEL_FUTURE}, placed as (select *, row_number() over (partition by label order by"

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repurchase.catalog.fixtures import ORDER_LINES, SNAPSHOT, TX, UNTIL, cents, order_lines, table
+from repurchase.catalog.fixtures import ORDER_LINES, SNAPSHOT, TX, UNTIL, cents, order_lines, order_spans, table
+from repurchase.catalog.labels import TRAIN_SQL
 from repurchase.catalog.registry import query
 from repurchase.catalog.snapshot import round_std, snapshot_sql
 from repurchase.operators import clean as C
-from repurchase.operators.labels import history
+from repurchase.operators.labels import history, label_future
+from repurchase.operators.profile import null_counts
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.runtime import scratch_path
 from repurchase.schema import ORDER_LINE_COLUMNS
@@ -61,6 +63,63 @@ def _(spark, sf_dir):
     return history(transactions.read_transactions(spark, path, "parquet"), UNTIL).select(*TX_COLUMNS)
 
 
+# Faults planted into the text of some lines: name, condition, column, text. The last one cuts the line short.
+FAULTS = (
+    ("time", "line_number = 2 and order_id % 5 = 0", "order_pay_time", "31/12/1999"),
+    ("number", "line_number = 4 and order_id % 7 = 0", "order_amount", "12,50".replace(",", ";")),
+    ("id", "line_number = 5 and order_id % 3 = 0", "customer_id", "12c"),
+    ("flag", "line_number = 7 and order_id % 2 = 0", "member_status", "yes"),
+)
+SHORT = "line_number = 6 and order_id % 4 = 0"
+FAULT_SQL = " ".join(f"when {condition} then '{name}'" for name, condition, _, _ in FAULTS)
+REJECTS_SQL = (
+    f"with {TX}, told as (select *, case when {SHORT} then 'short' {FAULT_SQL} end as fault from tx),"
+    " named as (select fault, goods_id, case fault "
+    + " ".join(f"when '{name}' then '{column}'" for name, _, column, _ in FAULTS)
+    + " end as column_name, case fault "
+    + " ".join(f"when '{name}' then '{text}'" for name, _, _, text in FAULTS)
+    + " end as text from told)"
+)
+
+
+def faulty_files(spark, sf_dir) -> str:
+    """Order lines as CSV text, some of them with a fault; returns the folder."""
+    lines = order_lines(spark, sf_dir)
+    faults = {column: F.when(F.expr(condition), F.lit(text)) for _, condition, column, text in FAULTS}
+    cells = []
+    for name, kind in ORDER_LINE_COLUMNS:
+        value = F.col(name) if name in ORDER_LINES else F.lit(None)
+        value = F.date_format(value, "yyyy-MM-dd HH:mm:ss") if kind == "timestamp_ntz" else value.cast("string")
+        cells.append(F.coalesce(faults.get(name, F.lit(None)), value, F.lit("")))
+    text = F.concat_ws(",", *cells)
+    text = F.when(F.expr(SHORT), F.substring_index(text, ",", 9)).otherwise(text)
+    header = spark.createDataFrame([(",".join(name for name, _ in ORDER_LINE_COLUMNS),)], "value string")
+    path = scratch_path(spark, "faulty-lines")
+    lines.select(text.alias("value")).unionByName(header).write.text(path)
+    return path
+
+
+@query(
+    "s1_rejected_lines",
+    f"{REJECTS_SQL} select column_name, text, count(*) as lines from named where fault is not null group by 1, 2"
+    " union all select 'good', null, count(*) from named where fault is null",
+)
+def _(spark, sf_dir):
+    good, rejects = transactions.split_transactions(spark, faulty_files(spark, sf_dir))
+    counted = rejects.groupBy("column_name", "text").agg(F.count("*").alias("lines"))
+    return counted.unionByName(good.agg(F.count("*").alias("lines")).select(F.lit("good").alias("column_name"), F.lit(None).cast("string").alias("text"), "lines"))
+
+
+GOOD_SQL = f"with {TX} select {TX_SQL} from tx where not coalesce({SHORT}, false)" + "".join(
+    f" and not coalesce({condition}, false)" for _, condition, _, _ in FAULTS
+)
+
+
+@query("s1_good_lines", GOOD_SQL)
+def _(spark, sf_dir):
+    return transactions.split_transactions(spark, faulty_files(spark, sf_dir))[0].select(*TX_COLUMNS)
+
+
 @query("s2_roundtrip", f"with {TX}, {snapshot_sql(UNTIL)} select * from snapshot")
 def _(spark, sf_dir):
     path = scratch_path(spark, "features")
@@ -72,6 +131,44 @@ def template(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.lit(0.0).alias("result"))
 
 
+@query("s2_bucketed_join", f"with {TX}, {TRAIN_SQL} select * from train")
+def _(spark, sf_dir):
+    """Features and labels stored in buckets by customer, joined without moving either."""
+    lines, known = order_lines(spark, sf_dir), order_spans(spark, sf_dir)
+    parts = (snapshot_features(lines, UNTIL, SNAPSHOT, known), label_future(lines.select("customer_id", "order_pay_time"), UNTIL))
+    stored = []
+    for name, part in zip(("features", "labels"), parts):
+        path = scratch_path(spark, name)
+        stored.append(storage.save_buckets(part, path.rpartition("/")[2].replace("-", "_"), path, 8))
+    return round_std(stored[0].join(stored[1], "customer_id"))
+
+
+def measured(spark, sf_dir, *columns: str) -> tuple[DataFrame, storage.Statistics]:
+    """Order lines stored with the statistics taken while they were written."""
+    path = scratch_path(spark, "measured-lines")
+    storage.save_features(order_lines(spark, sf_dir, *columns), path, measure=True)
+    return storage.load_features(spark, path), storage.load_statistics(spark, path)
+
+
+NULL_COLUMNS = ("customer_gender", "customer_province", "goods_price", "member_id", "order_id", "order_pay_time")
+
+
+@query(
+    "p3_nulls_from_statistics",
+    f"with {TX} "
+    + " union all ".join(f"select '{c}' as column_name, count(*) - count({c}) as count_null from tx" for c in NULL_COLUMNS),
+)
+def _(spark, sf_dir):
+    lines, known = measured(spark, sf_dir, *NULL_COLUMNS)
+    return null_counts(lines, known=known)
+
+
+@query("p8_time_range_from_statistics", f"with {TX} select min(order_pay_time) as first, max(order_pay_time) as last from tx")
+def _(spark, sf_dir):
+    _, known = measured(spark, sf_dir, "order_pay_time", "order_id")
+    return spark.createDataFrame([known.span("order_pay_time")], "first timestamp_ntz, last timestamp_ntz")
+
+
 @query("s3_template", "select c_custkey as customer_id, 0.0::double as result from customer")
 def _(spark, sf_dir):
     path = scratch_path(spark, "template")
@@ -239,6 +336,36 @@ def _(spark, sf_dir):
     return narrowed
 
 
+@query(
+    "c7_fill_from_statistics",
+    f"with {TX}, means as (select round(avg(goods_price), 4) as price from tx)"
+    f" select {KEY_SQL}, round(coalesce(goods_price, (select price from means)), 4) as goods_price from tx",
+)
+def _(spark, sf_dir):
+    lines, known = measured(spark, sf_dir, *LINE_KEY, "goods_price")
+    return C.fill_mean(lines, ["goods_price"], known=known).withColumn("goods_price", F.round("goods_price", 4))
+
+
+@query(
+    "c10_narrow_from_statistics",
+    f"with {TX} select {KEY_SQL}, order_total_num::tinyint as order_total_num, order_status::tinyint as order_status,"
+    " member_status::tinyint as member_status, goods_price::float"
+    " as goods_price from tx",
+)
+def _(spark, sf_dir):
+    columns = ("order_total_num", "order_status", "member_status", "goods_price")
+    lines, known = measured(spark, sf_dir, *LINE_KEY, *columns)
+    return C.narrow_types(lines, columns, known)[0]
+
+
+@query("c11_from_statistics", f"select column_name from ({RANGES_SQL}) where non_finite_count > 0")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "measured-ratios")
+    storage.save_features(ratios(spark, sf_dir), path, measure=True)
+    report = C.known_report(storage.load_features(spark, path), storage.load_statistics(spark, path))
+    return C.non_finite_columns(report)
+
+
 @query("c11_non_finite", f"select column_name from ({RANGES_SQL}) where non_finite_count > 0")
 def _(spark, sf_dir):
     return C.non_finite_columns(C.range_report(ratios(spark, sf_dir)))

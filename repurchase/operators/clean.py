@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from repurchase.functions import expressions as X
 from repurchase.schema import FLAG_COLUMNS, ID_COLUMNS, TIME_COLUMNS
+from repurchase.sources.storage import Statistics
 
 _FLOATING = (T.FloatType, T.DoubleType)
 # Largest absolute deviation from whole numbers, summed over a column, that still counts as integer.
@@ -56,9 +57,12 @@ def column_means(df: DataFrame, columns: Sequence[str], decimals: int | None = N
     return {c: row[c] for c in columns}
 
 
-def fill_mean(df: DataFrame, columns: Sequence[str] | None = None, decimals: int | None = None) -> DataFrame:
-    """Numeric nulls replaced by the column mean."""
-    means = column_means(df, list(columns if columns is not None else numeric_columns(df)), decimals)
+def fill_mean(
+    df: DataFrame, columns: Sequence[str] | None = None, decimals: int | None = None, known: Statistics | None = None
+) -> DataFrame:
+    """Numeric nulls replaced by the column mean; ``known`` statistics of the table spare the scan."""
+    columns = list(columns if columns is not None else numeric_columns(df))
+    means = {c: known.mean(c) for c in columns} if known else column_means(df, columns, decimals)
     return fill_const(df, {c: mean for c, mean in means.items() if mean is not None})
 
 
@@ -139,13 +143,29 @@ def non_finite_columns(report: DataFrame) -> DataFrame:
     return report.where(F.col("non_finite_count") > 0).select("column_name")
 
 
-def narrow_types(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def known_report(df: DataFrame, known: Statistics, columns: Sequence[str] | None = None) -> DataFrame:
+    """As :func:`range_report`, from statistics stored with the table instead of a scan."""
+    columns = list(columns if columns is not None else numeric_columns(df))
+    rows = []
+    for c in columns:
+        low, high = known.of(c, "finite_min"), known.of(c, "finite_max")
+        whole = known.of(c, "off") < INTEGER_TOLERANCE
+        nulls = known.nulls(c)
+        rows.append((c, None if low is None else low + 0.0, None if high is None else high + 0.0, whole, nulls, known.rows - known.of(c, "finite")))
+    kinds = "column_name string, min double, max double, is_int boolean, null_count long, non_finite_count long"
+    report = df.sparkSession.createDataFrame(rows, kinds)
+    return report.withColumn("target_type", _target_type(F.col("min"), F.col("max"), F.col("is_int")))
+
+
+def narrow_types(
+    df: DataFrame, columns: Sequence[str] | None = None, known: Statistics | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Each numeric column in the narrowest type that holds its range, and the report behind the choice.
 
-    Nulls stay null. A whole-number column loses NaN and infinities to null, as no integer can hold them.
+    ``known`` statistics of the table spare the scan. Nulls stay null. A whole-number column loses NaN and infinities to null, as no integer can hold them.
     The report has one row per column and is read by the driver to build the projection.
     """
-    report = range_report(df, columns)
+    report = known_report(df, known, columns) if known else range_report(df, columns)
     casts = {}
     for row in report.collect():
         c, target = row["column_name"], row["target_type"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repurchase.operators.clean import numeric_columns, text_columns
 from repurchase.operators.ranking import exact_quantiles
+from repurchase.sources.storage import Statistics
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -34,7 +35,11 @@ def profile_schema(df: DataFrame) -> DataFrame:
     )
 
 
-def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def null_counts(df: DataFrame, columns: Sequence[str] | None = None, known: Statistics | None = None) -> DataFrame:
+    """Nulls of each column; ``known`` statistics of the table spare the scan."""
+    if known:
+        rows = [(c, known.nulls(c)) for c in columns or df.columns]
+        return df.sparkSession.createDataFrame(rows, "column_name string, count_null long")
     return _per_column(
         df,
         [
@@ -47,8 +52,8 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, sample standard deviation, min, quartiles, max of each numeric column.
 
-    Exact quartiles sort all values across the cluster; ``exact=False`` uses Spark's sketch instead
-    and needs only one scan.
+    Exact quartiles take a few scans, as brackets around them narrow; ``exact=False`` uses Spark's sketch instead and
+    needs only one.
     """
     columns = list(columns or numeric_columns(df))
     structs = []

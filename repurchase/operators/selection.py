@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repurchase.operators.clean import column_means
+from repurchase.operators.ranking import exact_quantiles
 from repurchase.operators.scaling import value_ranges
 
 
@@ -69,7 +70,8 @@ def mutual_info(
 ) -> DataFrame:
     """Mutual information (nats) between each binned feature and the label; nulls count as the mean.
 
-    ``method`` is ``width`` for equal-width bins or ``quantile`` for bins of about equal size.
+    ``method`` is ``width`` for equal-width bins or ``quantile`` for bins of about equal size. Their cuts are sketched
+    within ``error`` of the wanted ranks; 0 takes the exact, interpolated quantiles.
     """
     cells = _long(df, columns, label)
     if method == "width":
@@ -83,8 +85,11 @@ def mutual_info(
         means = column_means(rows, columns)
         known = [c for c in columns if means[c] is not None]
         filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) for c in known])
-        found = filled.approxQuantile(known, [i / bins for i in range(1, bins)], error) if known else []
-        cuts = dict(zip(known, found))
+        shares = [i / bins for i in range(1, bins)]
+        if error > 0:
+            cuts = dict(zip(known, filled.approxQuantile(known, shares, error) if known else []))
+        else:
+            cuts = {r["column_name"]: r["quantiles"] for r in exact_quantiles(filled, known, shares).collect()}
         chosen = F.lit(0)
         for i in range(bins - 1):
             ends = _by_position([cuts[c][i] if cuts.get(c) else None for c in columns])

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from repurchase.functions import expressions as X
 from repurchase.schema import MONTH_COLUMN, ORDER_LINE_COLUMNS, order_line_file_schema
 
+_CORRUPT = "_broken_line"
+
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Order lines with their declared types; text that is no valid value becomes null."""
+    """Order lines with their declared types; text that is no valid value becomes null.
+
+    :func:`split_transactions` sets such lines of CSV files aside instead.
+    """
     if fmt == "csv":
         raw = spark.read.schema(order_line_file_schema()).option("header", True).csv(path)
     elif fmt == "parquet":
@@ -20,6 +25,42 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
     return conform(raw)
 
 
+def split_transactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(order lines, rejects) of CSV files: every line is in exactly one of them.
+
+    A line is rejected if it has too few or too many cells, or a cell that is not empty and no value of its column's
+    type. Rejects have the file, the line as it stands there, the first bad column (null if the number of cells is
+    wrong) and its text. A line equal to the header is neither; a header with other names is a reject, so it shows.
+    Both come from one scan of the text, and nothing is kept aside: reading them again reads the files again.
+    """
+    names = [name for name, _ in ORDER_LINE_COLUMNS]
+    header = ",".join(names)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    lines = lines.where((F.col("line") != header) & (F.trim("line") != ""))
+    cells = ", ".join(f"{name} string" for name in names) + f", {_CORRUPT} string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = lines.withColumn("cells", F.from_csv("line", cells, options))
+    found = {field.name: field.dataType.simpleString() for field in order_line_file_schema()}
+
+    def value(name: str, kind: str) -> Column:
+        # As the file holds it first: whole numbers may carry a decimal point.
+        return F.col(f"cells.{name}").try_cast(found[name]).try_cast(kind)
+
+    bad = [
+        F.when(F.col(f"cells.{name}").isNotNull() & value(name, kind).isNull(), F.struct(F.lit(name).alias("name"), F.col(f"cells.{name}").alias("text")))
+        for name, kind in ORDER_LINE_COLUMNS
+        if kind != "string"
+    ]
+    judged = parsed.withColumn("broken", F.col(f"cells.{_CORRUPT}").isNotNull()).withColumn("first", F.coalesce(*bad))
+    kept = judged.where("not broken and first is null").select(
+        *[(F.col(f"cells.{name}") if kind == "string" else value(name, kind)).alias(name) for name, kind in ORDER_LINE_COLUMNS]
+    )
+    refused = judged.where("broken or first is not null").select(
+        "file", "line", F.when(~F.col("broken"), F.col("first.name")).alias("column_name"), F.when(~F.col("broken"), F.col("first.text")).alias("text")
+    )
+    return conform(kept), refused
+
+
 def conform(raw: DataFrame) -> DataFrame:
     """Order-line columns in file order with their declared types, NaN as null."""
     present = dict(raw.dtypes)

@@ -18,7 +18,8 @@ from repurchase.operators.ranking import running_totals
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.training import class_weights, with_null_flags
 from repurchase.schema import NULLABLE_COLUMNS, ORDER_LINE_COLUMNS, RollingSpec, SnapshotSpec
-from repurchase.sources.transactions import conform
+from repurchase.sources.storage import write_submission
+from repurchase.sources.transactions import conform, read_transactions, split_transactions
 
 UNTIL = date(2024, 3, 1)
 
@@ -477,3 +478,40 @@ def test_information_by_quantiles_of_sparse_columns(spark):
     df = spark.createDataFrame([(float(i), None, i % 2) for i in range(20)] + [(1e9, 5.0, None)], "a double, b double, y int")
     got = {r.feature: r.score for r in selection.mutual_info(df, ["a", "b"], "y", 4, "quantile").collect()}
     assert got["b"] == pytest.approx(0.0) and got["a"] < 0.1
+
+
+def test_rejected_lines_name_their_first_bad_cell(spark, tmp_path):
+    header = ",".join(name for name, _ in ORDER_LINE_COLUMNS)
+    plain = {"long": "1", "int": "1.0", "double": "2.5", "string": "x y", "timestamp_ntz": "2024-01-01 10:00:00"}
+
+    def line(**cells):
+        return ",".join(cells.get(name, plain[kind]) for name, kind in ORDER_LINE_COLUMNS)
+
+    lines = {
+        "good": line(), "empty cells": line(goods_price="", customer_gender="", order_pay_time=""), "quoted": line(customer_city='"a, b"'),
+        "bad time": line(order_pay_time="yesterday", goods_id="abc"), "bad id": line(goods_id="abc"), "too large": line(order_status="3e9"),
+        "short": "1,2,3", "long": line() + ",more", "other header": header.replace("goods_id", "goods"), "not a number": line(goods_price="NaN"),
+    }
+    for i, part in enumerate((list(lines.values())[:6], list(lines.values())[6:], [])):
+        (tmp_path / f"part{i}.csv").write_text("\n".join([header, *part, ""]))
+    good, rejects = split_transactions(spark, str(tmp_path))
+    assert [n for n, _ in good.dtypes] == [n for n, _ in ORDER_LINE_COLUMNS] and [k for _, k in read_transactions(spark, str(tmp_path)).dtypes] == [k for _, k in good.dtypes]
+    assert sorted(r.customer_city for r in good.collect()) == ["a, b", "x y", "x y", "x y"]
+    assert good.where("goods_price is null").count() == 2
+    got = {r.line: (r.column_name, r.text, r.file.rpartition("/")[2]) for r in rejects.collect()}
+    assert got == {
+        lines["bad time"]: ("order_pay_time", "yesterday", "part0.csv"), lines["bad id"]: ("goods_id", "abc", "part0.csv"),
+        lines["too large"]: ("order_status", "3e9", "part0.csv"), lines["short"]: (None, None, "part1.csv"),
+        lines["long"]: (None, None, "part1.csv"), lines["other header"]: ("order_detail_id", "order_detail_id", "part1.csv"),
+    }
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "a.csv").write_text(header + "\n")
+    assert [df.count() for df in split_transactions(spark, str(empty))] == [0, 0]
+
+
+def test_submission_as_one_file(spark, tmp_path):
+    df = spark.createDataFrame([(i * 7 % 50, i % 2) for i in range(50)], "customer_id long, result int").repartition(5)
+    write_submission(df, str(tmp_path / "one"), single_file=True)
+    (part,) = (tmp_path / "one").glob("*.csv")
+    assert part.read_text().split() == ["customer_id,result"] + [f"{i},{r}" for i, r in sorted((i * 7 % 50, i % 2) for i in range(50))]

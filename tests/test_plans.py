@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from repurchase.catalog import load
 from repurchase.catalog.fixtures import SNAPSHOT, START, UNTIL, event_lines, order_lines, table
 from repurchase.functions.ordering import spans
+from repurchase.operators.clean import fill_mean, known_report, narrow_types, range_report
 from repurchase.operators.labels import history, label_future, since
 from repurchase.operators.months import month_state, save_state, snapshot_from_months
+from repurchase.operators.profile import null_counts
 from repurchase.operators.rolling import daily_sums, rolling_features
+from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.plans.dataset import snapshot_dataset
 from repurchase.schema import SnapshotSpec
+from repurchase.sources.storage import load_features, load_statistics, open_buckets, save_buckets, save_features
 from repurchase.sources.transactions import read_transactions, save_transactions
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -132,3 +136,53 @@ def test_customers_are_read_only_when_needed(spark):
     assert "customer" not in plan(order_lines(spark, SF_DIR, "customer_id", "order_pay_time")).replace("customer_id", "")
     assert "lineitem" not in plan(table(spark, SF_DIR, "orders"))
     assert SNAPSHOT.money_decimals == 4
+
+
+def test_bucketed_tables_join_and_group_without_exchange(spark, stored, tmp_path):
+    features = save_buckets(snapshot_features(stored, UNTIL), "plan_features", str(tmp_path / "features"), 6)
+    labels = save_buckets(label_future(stored, UNTIL), "plan_labels", str(tmp_path / "labels"), 6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = features.join(labels, "customer_id")
+        assert exchanges(joined) == [] and exchanges(joined.groupBy("customer_id").agg(F.max("label"))) == []
+        spark.sql("drop table plan_labels")
+        again = open_buckets(spark, "plan_labels_again", str(tmp_path / "labels"), 6)
+        assert exchanges(features.join(again, "customer_id")) == []
+        assert features.join(again, "customer_id").count() == labels_count(stored)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("plan_features", "plan_labels", "plan_labels_again"):
+            spark.sql(f"drop table if exists {name}")
+
+
+def labels_count(tx) -> int:
+    return label_future(tx, UNTIL).count()
+
+
+def test_stored_statistics_spare_the_scan(spark, tmp_path):
+    path = str(tmp_path / "table")
+    lines = table(spark, SF_DIR, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_shipdate", "l_returnflag")
+    lines = lines.withColumn("l_tax", F.when(F.col("l_tax") > 0, F.col("l_tax")))
+    save_features(lines, path, measure=True)
+    known, df = load_statistics(spark, path), load_features(spark, path)
+    assert df.columns == lines.columns and df.count() == lines.count() == known.rows
+    context = spark.sparkContext
+    context.setJobGroup("known", "")
+    scaled = minmax_scale(df, ["l_quantity", "l_tax"], known=known)
+    filled, (narrow, _) = fill_mean(df, ["l_tax"], known=known), narrow_types(df, ["l_orderkey", "l_quantity"], known)
+    jobs = len(context.statusTracker().getJobIdsForGroup("known"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # Only the report's few rows are read, which takes no scan of the table.
+    assert jobs <= 1
+    for got, want in (
+        (scaled, minmax_scale(df, ["l_quantity", "l_tax"])), (narrow, narrow_types(df, ["l_orderkey", "l_quantity"])[0]),
+        (known_report(df, known), range_report(df)), (null_counts(df, known=known), null_counts(df)),
+    ):
+        assert got.dtypes == want.dtypes and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert filled.where("l_tax is null").count() == 0
+    assert known.span("l_shipdate") == df.agg(F.min("l_shipdate"), F.max("l_shipdate")).first()[:]
+    # A file added later makes them void.
+    lines.limit(1).write.mode("append").parquet(path)
+    assert load_statistics(spark, path) is None
+    save_features(lines, str(tmp_path / "plain"))
+    assert load_statistics(spark, str(tmp_path / "plain")) is None
