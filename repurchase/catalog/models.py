@@ -63,6 +63,11 @@ def _(spark, sf_dir):
     return rounded(forecast.stratified_check(labelled(spark, sf_dir), params=DEPTHWISE))
 
 
+@query("t5_weighted_check")
+def _(spark, sf_dir):
+    return rounded(forecast.weighted_check(labelled(spark, sf_dir), params=DEPTHWISE))
+
+
 @query("t5_ordered_check")
 def _(spark, sf_dir):
     return rounded(forecast.ordered_check(labelled(spark, sf_dir), params=DEPTHWISE))

@@ -221,6 +221,23 @@ def rolling_train_set(spark, sf_dir):
     return rounded(build_dataset(tx, SINCE_UNTIL, True, "rolling", start=START, spec=ROLLING, decimals=4))
 
 
+NARROWED = ", ".join(f"{name}::float as {name}" for name in feature_sql(ROLLING, SINCE_UNTIL))
+
+
+@query(
+    "rolling_train_set_narrowed",
+    f"{ORDER_DAILY}, wide as ({rolling_sql(ROLLING, SINCE_UNTIL, label=True)}) select customer_id, {NARROWED}, label from wide",
+)
+def _(spark, sf_dir):
+    """The smallest types; numbers are told as floats, so that both sides show them alike."""
+    tx = order_lines(spark, sf_dir, *COLUMNS)
+    features = build_dataset(tx, SINCE_UNTIL, True, "rolling", start=START, spec=ROLLING, decimals=4, narrow=True)
+    if "double" in dict(features.dtypes).values():
+        raise ValueError("a feature was not narrowed")
+    told = [F.round(F.col(c).cast("double"), 4).cast("float").alias(c) for c in features.columns if c not in ("customer_id", "label")]
+    return features.select("customer_id", *told, "label")
+
+
 # The last of them lies after customers who bought only before all its windows.
 CUTOFFS = ("2001-01-01", "2001-04-02", SINCE_UNTIL)
 MANY_SQL = " union all ".join(

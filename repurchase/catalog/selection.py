@@ -116,8 +116,8 @@ def _(spark, sf_dir):
 
 CUTS = 10
 BY_RANK = (
-    f"{CELLS}, cuts as (select feature, quantile_cont(x, [{', '.join(f'{i} / {CUTS}.0' for i in range(1, CUTS))}]) as at from cells group by 1),"
-    f" binned as (select feature, label, {' + '.join(f'(at[{i}] < x)::int' for i in range(1, CUTS))} as bin from cells join cuts using (feature)),"
+    f"{CELLS}, cuts as (select feature, quantile_cont(x, [{', '.join(f'{i} / {CUTS}.0' for i in range(1, CUTS))}]) as edge from cells group by 1),"
+    f" binned as (select feature, label, {' + '.join(f'(edge[{i}] < x)::int' for i in range(1, CUTS))} as bin from cells join cuts using (feature)),"
     " joint as (select feature, bin, label, count(*) as n from binned group by 1, 2, 3),"
     " sized as (select feature, n, sum(n) over (partition by feature) as total, sum(n) over (partition by feature, bin) as"
     " in_bin, sum(n) over (partition by feature, label) as in_class from joint)"

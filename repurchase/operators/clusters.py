@@ -48,28 +48,85 @@ def _table(spark: SparkSession, centers: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, center array<double>")
 
 
+def _matrix(points: pa.Array, width: int) -> np.ndarray:
+    values = points.flatten()
+    if points.null_count or values.null_count or len(values) != len(points) * width:
+        raise ValueError(f"points must be arrays of {width} numbers")
+    return values.to_numpy(zero_copy_only=False).reshape(len(points), width)
+
+
+def _two_nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the nearest center, the first one on a tie, and the squared distances to it and to the next one."""
+    best = np.zeros(len(x), dtype=np.int32)
+    least, second = np.full(len(x), np.inf), np.full(len(x), np.inf)
+    for i, center in enumerate(centers):
+        off = x - center
+        squared = np.einsum("ij,ij->i", off, off)
+        closer = squared < least
+        second = np.where(closer, least, np.minimum(second, squared))
+        best[closer], least[closer] = i, squared[closer]
+    return best, least, second
+
+
 def _nearest(centers: np.ndarray):
-    """Index of the nearest center, the first one on a tie, for one Arrow batch of points at a time."""
-    k, width = centers.shape
+    """Index of the nearest center for one Arrow batch of points at a time."""
 
     @F.arrow_udf("int")
     def nearest(points: pa.Array) -> pa.Array:
-        values = points.flatten()
-        if points.null_count or values.null_count or len(values) != len(points) * width:
-            raise ValueError(f"points must be arrays of {width} numbers")
-        x = values.to_numpy(zero_copy_only=False).reshape(len(points), width)
-        best = np.zeros(len(x), dtype=np.int32)
-        least = np.full(len(x), np.inf)
-        for i in range(k):
-            off = x - centers[i]
-            squared = np.einsum("ij,ij->i", off, off)
-            closer = squared < least
-            best[closer], least[closer] = i, squared[closer]
-        return pa.array(best, pa.int32())
+        return pa.array(_two_nearest(_matrix(points, centers.shape[1]), centers)[0], pa.int32())
 
     return nearest
 
 
+_BOUNDED = "struct<cluster:int,upper:double,lower:double>"
+# From so many centers on, distances that bounds can spare cost more than keeping the bounds.
+BOUNDED_FROM = 32
+
+
+def _bounded(best: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays(
+        [pa.array(best, pa.int32()), pa.array(upper, pa.float64()), pa.array(lower, pa.float64())], ["cluster", "upper", "lower"]
+    )
+
+
+def _first_bounds(centers: np.ndarray):
+    """Nearest center, the distance to it, and a lower bound of the distance to any other."""
+
+    @F.arrow_udf(_BOUNDED)
+    def measured(points: pa.Array) -> pa.Array:
+        best, least, second = _two_nearest(_matrix(points, centers.shape[1]), centers)
+        return _bounded(best, np.sqrt(least), np.sqrt(second))
+
+    return measured
+
+
+def _next_bounds(centers: np.ndarray, moved: np.ndarray):
+    """The same after every center moved by the given distance; distances are computed only where bounds overlap."""
+    k = len(centers)
+    # The furthest any other center has moved, and half the distance to the nearest other center.
+    order = np.argsort(-moved, kind="stable")
+    others = np.full(k, moved[order[0]])
+    others[order[0]] = moved[order[1]] if k > 1 else 0.0
+    half = np.empty(k)
+    for i in range(k):
+        apart = np.sqrt(((centers - centers[i]) ** 2).sum(axis=1))
+        half[i] = np.delete(apart, i).min(initial=np.inf) / 2
+
+    @F.arrow_udf(_BOUNDED)
+    def narrowed(points: pa.Array, state: pa.Array) -> pa.Array:
+        best, upper, lower = (state.field(i).to_numpy(zero_copy_only=False).copy() for i in range(3))
+        upper, lower = upper + moved[best], lower - others[best]
+        # Rounding must not settle what is nearly a tie.
+        open_ = np.flatnonzero(~(upper * (1 + 1e-9) + 1e-12 < np.maximum(lower, half[best])))
+        if len(open_):
+            x = _matrix(points, centers.shape[1])[open_]
+            nearest, least, second = _two_nearest(x, centers)
+            best[open_], upper[open_], lower[open_] = nearest, np.sqrt(least), np.sqrt(second)
+        return _bounded(best, upper, lower)
+
+    return narrowed
+
+
 def _assign(df: DataFrame, centers: np.ndarray, features: str) -> DataFrame:
     return df.withColumn("cluster", _nearest(centers)(F.col(features).cast("array<double>")))
 
@@ -102,20 +159,32 @@ def kmeans_fit(
     """Centroids after at most ``max_iter`` rounds, fewer once all centers together move less than ``tol``.
 
     Only the k centers reach the driver. The points are kept on the executors between rounds and are
-    recomputed where an executor is lost.
+    recomputed where an executor is lost. With many centers each point keeps bounds of its distances, by which most
+    distances of later rounds need not be computed; the centers are the same either way.
     """
     points = df.select(key, F.col(features).cast("array<double>").alias(features)).persist()
+    kept, moved, state = [points], None, points
     try:
         centers = _centers(init_centroids(points, k, seed, key, features))
         for _ in range(max_iter):
-            moved = centers.copy()
-            for row in _means(_assign(points, centers, features), features).collect():
-                moved[row["cluster"]] = row["mean"]
-            if np.linalg.norm(moved - centers) < tol:
+            if len(centers) < BOUNDED_FROM:
+                state = _assign(points, centers, features)
+            else:
+                known = _first_bounds(centers)(features) if moved is None else _next_bounds(centers, moved)(F.col(features), F.col("state"))
+                state = state.select(key, features, known.alias("state")).withColumn("cluster", F.col("state.cluster")).persist()
+                kept.append(state)
+            after = centers.copy()
+            for row in _means(state, features).collect():
+                after[row["cluster"]] = row["mean"]
+            # The round before is no longer read.
+            while len(kept) > 2:
+                kept.pop(1).unpersist()
+            if np.linalg.norm(after - centers) < tol:
                 break
-            centers = moved
+            moved, centers = np.sqrt(((after - centers) ** 2).sum(axis=1)), after
     finally:
-        points.unpersist()
+        for df_ in kept:
+            df_.unpersist()
     return _table(df.sparkSession, centers)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from repurchase.functions.ordering import Span
+from repurchase.operators.clean import narrow_types
 from repurchase.operators.labels import buyers, future, with_membership
 from repurchase.operators.rolling import daily_sums, rolling_features, rolling_features_at
 from repurchase.operators.snapshot import snapshot_features
@@ -34,10 +35,17 @@ def rolling_dataset(
     spec: RollingSpec = RollingSpec(),
     population: str = "history",
     decimals: int | None = None,
+    narrow: bool = False,
 ) -> DataFrame:
-    """Rolling features at ``until`` from lines after ``start``; for training with the fixed-horizon label."""
+    """Rolling features at ``until`` from lines after ``start``; for training with the fixed-horizon label.
+
+    ``narrow`` gives every feature the narrowest type that holds its range, for which the features are computed once
+    more; narrow a stored table with its statistics instead where that matters.
+    """
     daily = daily_sums(tx, start, decimals=decimals)
-    return rolling_features(daily, until, spec, label=is_train, population=population)
+    features = rolling_features(daily, until, spec, label=is_train, population=population)
+    kept = ("customer_id", "label")
+    return narrow_types(features, [c for c in features.columns if c not in kept])[0] if narrow else features
 
 
 def rolling_datasets(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repurchase.functions import expressions as X
 from repurchase.functions.windows import DayWindow
+from repurchase.operators.boosting import score_boosted, train_boosted
 from repurchase.operators.clusters import as_point, assign, cluster_labels, kmeans_fit, kmeans_predict
 from repurchase.operators.decisions import attach_scores, by_threshold, label_top_n, topn_sweep
 from repurchase.operators.labels import horizon_label
@@ -17,10 +18,12 @@ from repurchase.operators.rolling import daily_sums
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.selection import anova_scores, apply_selection, select_top
 from repurchase.operators.splits import ordered_split, stratified_split
-from repurchase.operators.training import fit_evaluate, fit_predict
-from repurchase.schema import DEPTHWISE, LEAFWISE, GbtParams
+from repurchase.operators.training import class_weights, fit_evaluate, fit_predict, score, train_gbt, with_null_flags
+from repurchase.schema import DEPTHWISE, LEAFWISE, LEAFWISE_PENALISED, BoostParams, GbtParams
 
 KEYS = ("customer_id", "label")
+# Fixed value: how many customers the published forecast marks.
+BUY_NUM = 450_000
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -28,7 +31,7 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def ranked_forecast(
-    train: DataFrame, future: DataFrame, template: DataFrame, buy_num: int = 450_000, params: GbtParams = DEPTHWISE
+    train: DataFrame, future: DataFrame, template: DataFrame, buy_num: int = BUY_NUM, params: GbtParams = DEPTHWISE
 ) -> DataFrame:
     """Train on a labelled table, score the later one, mark the ``buy_num`` likeliest customers.
 
@@ -45,7 +48,7 @@ def selected_forecast(
     future: DataFrame,
     template: DataFrame,
     n_features: int = 30,
-    buy_num: int = 450_000,
+    buy_num: int = BUY_NUM,
     params: GbtParams = DEPTHWISE,
 ) -> DataFrame:
     """As above with the ``n_features`` features of the highest F statistic in the training table."""
@@ -75,6 +78,32 @@ def stratified_check(
     return balanced_accuracy(by_threshold(scored, "score", threshold), "label", "result")
 
 
+def weighted_check(
+    train: DataFrame, threshold: float = 0.5, share: float = 0.2, seed: int = 42, params: GbtParams = DEPTHWISE
+) -> DataFrame:
+    """Balanced accuracy on a stratified holdout, with classes of equal weight and flags for what was missing.
+
+    For tables in which few customers return: without weights the learner gains by never marking one.
+    """
+    columns = feature_columns(train)
+    flagged = class_weights(with_null_flags(train, columns), "label")
+    features = [c for c in flagged.columns if c not in (*KEYS, "weight")]
+    fit_on, holdout = stratified_split(flagged, "label", share, seed, "customer_id")
+    model = train_gbt(fit_on, features, "label", params, weight="weight")
+    scored = score(model, holdout, features, KEYS)
+    return balanced_accuracy(by_threshold(scored, "score", threshold), "label", "result")
+
+
+def boosted_check(
+    train: DataFrame, share: float = 0.2, seed: int = 42, params: BoostParams = LEAFWISE_PENALISED, folder: str | None = None
+) -> DataFrame:
+    """AUC and accuracy of trees with penalised leaves on a stratified holdout; ``folder`` lets a long fit go on."""
+    columns = feature_columns(train)
+    fit_on, holdout = stratified_split(train, "label", share, seed, "customer_id")
+    scored = score_boosted(train_boosted(fit_on, columns, "label", params, folder), holdout, KEYS)
+    return roc_auc(scored, "label", "score").withColumn("accuracy", accuracy(scored, "label", "prediction").scalar())
+
+
 def sweep_check(
     train: DataFrame, ns: Sequence[int], share: float = 0.2, seed: int = 42, params: GbtParams = LEAFWISE
 ) -> DataFrame:

@@ -135,7 +135,25 @@ class GbtParams:
     extra: dict = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class BoostParams:
+    """Settings of boosted trees with L1 and L2 penalties on the values of leaves."""
+
+    max_iter: int
+    step_size: float
+    max_depth: int
+    l1: float = 0.0
+    l2: float = 0.0
+    min_instances: int = 1
+    seed: int = 0
+    max_bins: int = 64
+    # Rounds between two writes of margins and model.
+    store_every: int = 20
+
+
 # The two learner configurations. Spark grows trees level by level, so the leaf-wise one
 # (31 leaves) becomes depth 5; its L1/L2 penalties have no counterpart.
 LEAFWISE = GbtParams(max_iter=2500, step_size=0.005, max_depth=5, min_instances=3, seed=2021)
 DEPTHWISE = GbtParams(max_iter=100, step_size=0.1, max_depth=6)
+# The leaf-wise configuration with its penalties, for trees with penalised leaves.
+LEAFWISE_PENALISED = BoostParams(max_iter=2500, step_size=0.005, max_depth=5, l1=0.25, l2=0.25, min_instances=3, seed=2021)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from repurchase.catalog.fixtures import SNAPSHOT, UNTIL, order_lines, table
 from repurchase.functions.ordering import spans
 from repurchase.operators import clusters, metrics, ranking
+from repurchase.operators.boosting import BoostedModel, score_boosted, train_boosted
 from repurchase.operators.decisions import label_top_n
 from repurchase.operators.ranking import exact_quantiles, running_totals, with_position
 from repurchase.operators.months import month_state, snapshot_from_months
@@ -21,7 +23,7 @@ from repurchase.operators.snapshot import snapshot_features
 from repurchase.operators.splits import ordered_split, stratified_split
 from repurchase.operators.training import score, train_gbt
 from repurchase.runtime import join_null_safe
-from repurchase.schema import GbtParams
+from repurchase.schema import BoostParams, GbtParams
 
 SF_DIR = "/root/testdata/sf0.001"
 TX = ("customer_id", "order_pay_time", "order_total_payment", "order_total_num")
@@ -230,3 +232,74 @@ def test_months_merge_to_the_same_features(spark):
         rounded = [F.round(c, 5).alias(c) if c.endswith("_std") else F.col(c) for c in want.columns]
         assert want.count() == got.count()
         assert want.select(rounded).exceptAll(got.select(rounded)).count() == 0
+
+
+def test_bounds_give_the_same_centers_bit_for_bit(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(40, 6)) * 4
+    data = [(i, [float(x) for x in np.round(middle[i % 40] + rng.normal(size=6), 1)]) for i in range(3000)]
+    # Repeated points make ties between centers.
+    df = spark.createDataFrame(data + [(3000 + i, data[i % 7][1]) for i in range(300)], "vec_id long, features array<double>").repartition(4)
+    found = {}
+    for start in (1000, 2):
+        monkeypatch.setattr(clusters, "BOUNDED_FROM", start)
+        for k in (2, 40, 60):
+            fitted = clusters.kmeans_fit(df, k, 25, key="vec_id").orderBy("cluster").collect()
+            found.setdefault(k, []).append([list(c.center) for c in fitted])
+    assert all(a == b for a, b in found.values())
+
+
+def boosting_rows(spark):
+    rng = np.random.default_rng(2)
+    data = []
+    for i in range(300):
+        x, y = float(rng.random()), float(np.round(rng.random(), 1))
+        data.append((i, x if i % 40 else None, y, float("inf") if i % 70 == 3 else 1.0, int(x + 0.3 * y > 0.7) if i % 9 else None))
+    return spark.createDataFrame(data, "customer_id long, x double, y double, z double, label int").repartition(3, "customer_id")
+
+
+PENALISED = BoostParams(max_iter=12, step_size=0.3, max_depth=3, l1=0.25, l2=0.5, min_instances=3, seed=5, store_every=5)
+
+
+def test_boosted_trees_follow_the_penalised_newton_step(spark):
+    df, columns = boosting_rows(spark), ["x", "y", "z"]
+    model = train_boosted(df, columns, "label", PENALISED)
+    rows = [r for r in df.collect() if r.label is not None]
+    clean = [[v if v is not None and np.isfinite(v) else 0.0 for v in (r.x, r.y, r.z)] for r in rows]
+    label = np.array([r.label for r in rows], dtype=float)
+
+    def leaf(tree, point):
+        while not isinstance(tree, int):
+            tree = tree[2] if point[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    margin = np.full(len(rows), np.log(label.mean() / (1 - label.mean())))
+    assert model.base == pytest.approx(margin[0])
+    loss = []
+    for tree, values in zip(model.trees, model.values):
+        p = 1 / (1 + np.exp(-margin))
+        loss.append(-np.mean(label * np.log(p) + (1 - label) * np.log(1 - p)))
+        leaves = np.array([leaf(tree, c) for c in clean])
+        for i, value in enumerate(values):
+            g, h = (p - label)[leaves == i].sum(), (p * (1 - p))[leaves == i].sum()
+            assert value == pytest.approx(-0.3 * np.sign(g) * max(abs(g) - 0.25, 0) / (h + 0.5))
+        margin += np.array(values)[leaves]
+    assert len(model.trees) == 12 and all(b < a for a, b in zip(loss, loss[1:]))
+    scored = {r.customer_id: r.score for r in score_boosted(model, df, ["customer_id", "label"], trees_at_once=5).collect()}
+    assert len(scored) == 300
+    assert [scored[r.customer_id] for r in rows] == pytest.approx(list(1 / (1 + np.exp(-margin))))
+    assert metrics.roc_auc(score_boosted(model, df, ["label"]), "label", "score").first()[0] > 0.95
+
+
+def test_a_fit_that_was_stopped_goes_on(spark, tmp_path):
+    df, columns = boosting_rows(spark), ["x", "y", "z"]
+    whole = train_boosted(df, columns, "label", PENALISED)
+    train_boosted(df, columns, "label", replace(PENALISED, max_iter=7), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["after-000000", "after-000005", "after-000007"]
+    again = train_boosted(df, columns, "label", PENALISED, str(tmp_path))
+    assert again.trees == whole.trees
+    assert [v for t in again.values for v in t] == pytest.approx([v for t in whole.values for v in t])
+    assert BoostedModel.loads(again.dumps()).dumps() == again.dumps()
+    for some in ("label = 1", "label is null"):
+        one = train_boosted(df.where(some), columns, "label", PENALISED)
+        assert one.trees == () and score_boosted(one, df, ["label"]).count() == 300
