@@ -2,13 +2,17 @@
 
 A bounded sample of the vectors gets its neighbour graph, which is cut into partitions of equal size so that
 neighbours stay together. A small softmax classifier learns which partition a vector belongs to. It then places every
-vector into its most probable partition and sends each query to the partitions that together are as probable as
-``mass``; the vectors there are compared exactly, in double precision. Large partitions are split into blocks, to each
+vector into its most probable partition and sends each query to the partitions that together hold enough of the
+probability; the vectors there are compared exactly, in double precision. Large partitions are split into blocks, to each
 of which the query goes.
 
+The number of partitions grows with the root of the number of vectors. How much probability is enough is measured: vectors
+of the sample that the classifier has not seen look for their nearest ones in it, and the least mass that finds
+``GOAL`` of them is taken. Clustered vectors are found in few partitions, vectors without structure in many.
+
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part; with fewer than 20 candidates all are given; equal scores go by the smaller vec_id; rows that repeat a
-vec_id or lack one: those without are left out, repeated ones are candidates each and queries once; an empty table
+vec_id or lack one: those without are left out, repeated ones are candidates each, and the smallest vector is the query; an empty table
 gives no rows. Other columns are not looked at.
 """
 
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 from repurchase.llm.storage import stored
 
 SAMPLE = 6000
-PARTITIONS = 32
+# Partitions per root of the number of vectors, and vectors of the sample a partition needs.
+PER_ROOT, LEAST_ROWS = 0.6, 40
 NEIGHBOURS = 10
-# Queries go to partitions until these hold so much of the classifier's probability.
-MASS = 0.97
+# Share of the nearest vectors that held-out queries must find, and the masses that are tried.
+GOAL = 0.94
+MASSES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 1.0)
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 TOP = 20
@@ -143,15 +149,41 @@ def _probabilities(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, parts: int = PARTITIONS, size: int = SAMPLE, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Weights of the classifier, from a sample of at most about ``size`` vectors."""
+def enough_mass(x: np.ndarray, held: np.ndarray, weights: np.ndarray, goal: float = GOAL, top: int = TOP) -> float:
+    """The least mass with which the rows ``held`` find ``goal`` of their nearest among the other rows."""
+    if not len(held) or len(x) <= top:
+        return 1.0
+    near = x[held] @ x.T
+    near[np.arange(len(held)), held] = -np.inf
+    nearest = np.argpartition(-near, top - 1, axis=1)[:, :top]
+    p = _probabilities(x, weights)
+    home, own = p.argmax(axis=1), p[held]
+    order = np.argsort(-own, axis=1, kind="stable")
+    sums = np.cumsum(np.take_along_axis(own, order, axis=1), axis=1)
+    before = np.empty_like(own)
+    np.put_along_axis(before, order, np.concatenate([np.zeros((len(own), 1)), sums[:, :-1]], axis=1), axis=1)
+    # A neighbour is found if the partitions before its own hold less than the mass.
+    needed = np.take_along_axis(before, home[nearest], axis=1)
+    return next((m for m in MASSES if (needed < m).mean() >= goal), 1.0)
+
+
+def partitions(vectors: int, sampled: int) -> int:
+    return max(1, min(round(PER_ROOT * vectors**0.5), sampled // LEAST_ROWS))
+
+
+def fit(rows: DataFrame, parts: int | None = None, size: int = SAMPLE, neighbours: int = NEIGHBOURS, goal: float = GOAL) -> tuple[np.ndarray, float]:
+    """Weights of the classifier and the mass that is enough, from a sample of at most about ``size`` vectors."""
     x = sample(rows, size)
-    parts = max(1, min(parts, len(x) // 50))
+    parts = partitions(rows.count(), len(x)) if parts is None else max(1, min(parts, len(x) // LEAST_ROWS))
     if parts == 1:
-        return np.zeros((x.shape[1] + 1, 1))
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return np.zeros((x.shape[1] + 1, 1)), 1.0
+    original, x = x, x / np.linalg.norm(x, axis=1, keepdims=True)
     graph = neighbour_graph(x, neighbours)
-    return train_classifier(x, balanced_partition(x, graph, parts), graph, parts)
+    labels = balanced_partition(x, graph, parts)
+    held = np.random.default_rng(7).permutation(len(x))[: len(x) // 10]
+    seen = np.delete(np.arange(len(x)), held)
+    weights = train_classifier(x[seen], labels, graph[seen], parts)
+    return weights, enough_mass(original, held, weights, goal)
 
 
 def route(rows: DataFrame, weights: np.ndarray, mass: float | None) -> DataFrame:
@@ -176,17 +208,17 @@ def route(rows: DataFrame, weights: np.ndarray, mass: float | None) -> DataFrame
     return rows.mapInArrow(run, "vec_id long, v array<double>, part int")
 
 
-def search(vectors: DataFrame, is_query: Column, top: int = TOP, parts: int = PARTITIONS, mass: float = MASS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, top: int = TOP, parts: int | None = None, goal: float = GOAL, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` found candidates of each query."""
     rows = stored(usable(vectors), "vectors")
     if rows.isEmpty():
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    weights = fit(rows, parts)
+    weights, mass = fit(rows, parts, goal=goal)
     index = stored(route(rows, weights, None), "index")
     # Every part is cut into blocks of about ``block_rows`` vectors, by the hash of the id.
     blocks = index.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     placed = index.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int"))
-    queries = route(rows.where(is_query).dropDuplicates(["vec_id"]), weights, mass).join(blocks, "part")
+    queries = route(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), weights, mass).join(blocks, "part")
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Queries of one block are dealt out in chunks, so that a popular part is no single task either.
     asked = queries.groupBy("part", "block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))

@@ -170,7 +170,8 @@ def shard_documents(documents: DataFrame, shards: int = 40, rounds: int = ROUNDS
     rows = prepare(documents)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     quota = total / shards
-    linked_keys = rows.where("link is not null").groupBy("link").count().where("count > 1").select("link")
+    # Stored, as the groups of propagate().
+    linked_keys = stored(rows.where("link is not null").groupBy("link").count().where("count > 1").select("link"))
     linked = rows.join(linked_keys, "link", "left_semi")
     alone = rows.join(linked_keys, "link", "left_anti")
     state = propagate(linked.select("row", "size", "link"), shards, quota, rounds)

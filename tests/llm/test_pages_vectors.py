@@ -65,6 +65,29 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("part", F.lit(1)).withColumn("label", F.lit(2))
 
 
+def test_clustered_vectors_are_found_in_few_partitions(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(40, size=4000)] + 0.4 * rng.normal(size=(4000, 16))).astype(np.float32)
+    table = vectors(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)])
+    rows = ann.usable(table)
+    weights, mass = ann.fit(rows)
+    assert weights.shape[1] == round(ann.PER_ROOT * 4000**0.5)
+    homes = {r.part: r["count"] for r in ann.route(rows, weights, None).groupBy("part").count().collect()}
+    asked = ann.route(rows.where("vec_id % 20 = 0"), weights, mass).groupBy("part").count().collect()
+    compared = sum(r["count"] * homes.get(r.part, 0) for r in asked) / (200 * 4000)
+    assert compared < 0.2
+    found = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4000, 20):
+        near = x.astype(np.float64) @ x[q].astype(np.float64)
+        near[q] = -np.inf
+        hits += len(found[q] & set(np.lexsort((np.arange(4000), -near))[:20].tolist()))
+    assert hits / 4000 >= 0.9
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
