@@ -9,6 +9,7 @@ from repurchase.catalog.fixtures import table
 from repurchase.catalog.registry import query
 from repurchase.operators import clusters as K
 from repurchase.functions.expressions import distance
+from repurchase.plans.forecast import cluster_holdout
 from repurchase.runtime import scratch_path
 from repurchase.sources import storage
 
@@ -120,6 +121,27 @@ def _(spark, sf_dir):
     return K.kmeans_predict(rows, centroids, labels).select("vec_id", "label", "prediction")
 
 
+# Four fifths of every class are held out, the clusters learned from the rest.
+PART = (
+    "with whole as materialized (select vec_id, label, embedding::double[] as p, row_number() over (partition by label order by"
+    f" md5(vec_id::varchar || '|{SEED}'), vec_id) <= floor(count(*) over (partition by label) * 0.8::double + 0.5) as held"
+    " from embeddings), points as materialized (select vec_id, label, p from whole where not held)"
+)
+JUDGED = (
+    f"{FIT.replace(POINTS, PART)}, {LABELS}, placed as (select vec_id, any_value(label) as label, arg_min(cluster,"
+    f" row(list_distance(p, center), cluster)) as cluster from whole cross join {LAST_C} where held group by vec_id),"
+    " judged as (select p.label, (p.label = k.label)::int as hit from placed p join labels k using (cluster)),"
+    " recalls as (select label, avg(hit) as recall from judged group by 1)"
+    " select round((select avg(recall) from recalls), 9) as balanced_accuracy, round((select avg(hit) from judged), 9) as accuracy"
+)
+
+
+@query("k6_holdout_check", JUDGED)
+def _(spark, sf_dir):
+    judged = cluster_holdout(points(spark, sf_dir), "vec_id", CLUSTERS, 0.8, SEED, ROUNDS)
+    return judged.select(*[F.round(c, 9).alias(c) for c in ("balanced_accuracy", "accuracy")])
+
+
 @query(
     "x9_distance",
     f"{POINTS}, {START} select vec_id, round(list_distance(p, (select center from c0 where cluster = 0)), 6) as distance"

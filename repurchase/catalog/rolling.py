@@ -221,20 +221,25 @@ def rolling_train_set(spark, sf_dir):
     return rounded(build_dataset(tx, SINCE_UNTIL, True, "rolling", start=START, spec=ROLLING, decimals=4))
 
 
-NARROWED = ", ".join(f"{name}::float as {name}" for name in feature_sql(ROLLING, SINCE_UNTIL))
+# Floats of the sums themselves: rounding to digits first would put some of them on the other side of a float.
+NARROWED = ", ".join(
+    f"({sql.removeprefix('round(').removesuffix(', 4)') if sql.startswith('round(') else sql})::float as {name}"
+    for name, sql in feature_sql(ROLLING, SINCE_UNTIL).items()
+)
 
 
 @query(
     "rolling_train_set_narrowed",
-    f"{ORDER_DAILY}, wide as ({rolling_sql(ROLLING, SINCE_UNTIL, label=True)}) select customer_id, {NARROWED}, label from wide",
+    f"{ORDER_DAILY} select customer_id, {NARROWED}, {horizon_sql(SINCE_UNTIL, ROLLING.horizon)} from daily group by customer_id"
+    f" having min(day) < date '{SINCE_UNTIL}'",
 )
 def _(spark, sf_dir):
-    """The smallest types; numbers are told as floats, so that both sides show them alike."""
+    """The narrowest types, told as floats on both sides, as the types depend on the data."""
     tx = order_lines(spark, sf_dir, *COLUMNS)
     features = build_dataset(tx, SINCE_UNTIL, True, "rolling", start=START, spec=ROLLING, decimals=4, narrow=True)
     if "double" in dict(features.dtypes).values():
         raise ValueError("a feature was not narrowed")
-    told = [F.round(F.col(c).cast("double"), 4).cast("float").alias(c) for c in features.columns if c not in ("customer_id", "label")]
+    told = [F.col(c).cast("float").alias(c) for c in features.columns if c not in ("customer_id", "label")]
     return features.select("customer_id", *told, "label")
 
 

@@ -130,8 +130,13 @@ def cluster_check(
     columns = feature_columns(train)
     scaled = minmax_scale(train, columns).na.fill(0.0, columns)
     points = scaled.select(*KEYS, as_point(columns).alias("features"))
-    fit_on, holdout = stratified_split(points, "label", holdout_share, seed, "customer_id")
-    centroids = kmeans_fit(fit_on, k, max_iter, seed=seed)
+    return cluster_holdout(points, "customer_id", k, holdout_share, seed, max_iter)
+
+
+def cluster_holdout(points: DataFrame, key: str, k: int, holdout_share: float, seed: int, max_iter: int) -> DataFrame:
+    """The same on points: key, label, features."""
+    fit_on, holdout = stratified_split(points, "label", holdout_share, seed, key)
+    centroids = kmeans_fit(fit_on, k, max_iter, seed=seed, key=key)
     labels = cluster_labels(assign(fit_on, centroids), centroids)
     judged = kmeans_predict(holdout, centroids, labels)
     both = balanced_accuracy(judged, "label", "prediction")
