@@ -176,3 +176,47 @@ def test_pipeline_stages(spark, tmp_path):
             want = [(d, whole.encode(t or "", add_special_tokens=False).ids) for d, t, _, _ in before]
             assert bag((r.doc_id, list(r.ids)) for r in rows) == bag(want)
         at = got
+
+
+def test_pipeline_runs_from_files(spark, tmp_path):
+    """The whole run, written and read between stages, with a cutoff that is proven and rejects."""
+    import corpus_pipeline
+    from repurchase.llm import bpe, quality
+    from tokenizers import Tokenizer
+
+    good = [(i, f"plain words of text number {i} " + " ".join(f"w{i * 60 + j}" for j in range(60)), "en", f"s{i % 3}") for i in range(2400)]
+    bad = [(9000 + i, " ".join(f"w{i * 60 + j}%%%" for j in range(90)), "en", "s0") for i in range(200)]
+    # A copy under a larger id, a different text under an id that is taken, rows without id, personal data, and junk.
+    more = [(7000, good[5][1], "en", "s1"), (5, good[5][1].replace("w3", "v3"), "en", "s1"), (None, good[6][1], "en", "s1")]
+    more += [(7001, None, "en", "s0"), (7002, "", None, None), (7003, good[7][1].replace("w4", "x4") + " write to jo@mail.example.com", "en", "s2")]
+    rows = good + bad + more
+    folder = str(tmp_path / "some")
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    marks = [(r[0], 1) for r in good] + [(r[0], 0) for r in bad]
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    verdicts = quality.quality_verdicts(documents(spark, rows), labels).where("not base_failed").collect()
+    refused = {r.doc_id for r in verdicts if not r.kept}
+    assert refused == {r[0] for r in bad}
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids"]
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.doc_id, []).append(list(r.ids))
+        assert r.n_tokens == len(r.ids)
+    assert not refused & set(found) and not {7000, 7001, 7002, None} & set(found)
+    whole = Tokenizer.from_file(bpe.default_path())
+    texts_of = {}
+    for d, t, _, _ in rows:
+        texts_of.setdefault(d, []).append(t)
+    for d, lists in found.items():
+        assert len(lists) <= 3 * len(texts_of[d])
+        if d != 7003:
+            assert all(ids in [whole.encode(t, add_special_tokens=False).ids for t in texts_of[d]] for ids in lists)
+    # Sources of equal size and weights 5, 2, 1: the first is repeated, the last is thinned out.
+    shares = [sum(len(found.get(i, ())) for i in range(s, 2400, 3)) / 800 for s in range(3)]
+    assert shares[0] > 1.6 and 0.6 < shares[1] < 0.9 and 0.3 < shares[2] < 0.45
+    none = str(tmp_path / "none")
+    documents(spark, []).write.parquet(f"{none}/documents.parquet")
+    labels.limit(0).write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
