@@ -80,7 +80,7 @@ def _nearest(centers: np.ndarray):
 
 _BOUNDED = "struct<cluster:int,upper:double,lower:double>"
 # From so many centers on, distances that bounds can spare cost more than keeping the bounds.
-BOUNDED_FROM = 32
+BOUNDED_FROM = 100
 
 
 def _bounded(best: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> pa.Array:
