@@ -9,6 +9,8 @@ from repurchase.functions import expressions as X
 from repurchase.schema import MONTH_COLUMN, ORDER_LINE_COLUMNS, order_line_file_schema
 
 _CORRUPT = "_broken_line"
+# Java does not compile methods above 8,000 bytes; the casts of all columns in one are larger.
+_VALUES_AT_ONCE = 7
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -39,28 +41,35 @@ def split_transactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     lines = lines.where((F.col("line") != header) & (F.trim("line") != ""))
     cells = ", ".join(f"{name} string" for name in names) + f", {_CORRUPT} string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = lines.withColumn("cells", F.from_csv("line", cells, options))
+    parsed = _computed_once(lines, F.from_csv("line", cells, options), "cells")
     found = {field.name: field.dataType.simpleString() for field in order_line_file_schema()}
-
-    def value(name: str, kind: str) -> Column:
-        # As the file holds it first: whole numbers may carry a decimal point.
-        return F.col(f"cells.{name}").try_cast(found[name]).try_cast(kind)
-
-    bad = [
-        F.when(F.col(f"cells.{name}").isNotNull() & value(name, kind).isNull(), F.struct(F.lit(name).alias("name"), F.col(f"cells.{name}").alias("text")))
-        for name, kind in ORDER_LINE_COLUMNS
-        if kind != "string"
-    ]
-    judged = parsed.withColumn("broken", F.col(f"cells.{_CORRUPT}").isNotNull()).withColumn("first", F.coalesce(*bad))
+    typed = [(name, kind) for name, kind in ORDER_LINE_COLUMNS if kind != "string"]
+    # As the file holds it first: whole numbers may carry a decimal point.
+    at = {name: f"values_{i // _VALUES_AT_ONCE}" for i, (name, _) in enumerate(typed)}
+    for group in dict.fromkeys(at.values()):
+        values = [F.col(f"cells.{name}").try_cast(found[name]).try_cast(kind).alias(name) for name, kind in typed if at[name] == group]
+        parsed = _computed_once(parsed, F.struct(*values), group)
+    bad = [F.when(F.col(f"cells.{name}").isNotNull() & F.col(f"{at[name]}.{name}").isNull(), F.lit(name)) for name, _ in typed]
+    judged = _computed_once(parsed, F.coalesce(*bad), "first").withColumn("broken", F.col(f"cells.{_CORRUPT}").isNotNull())
     kept = judged.where("not broken and first is null").select(
-        *[(F.col(f"cells.{name}") if kind == "string" else value(name, kind)).alias(name) for name, kind in ORDER_LINE_COLUMNS]
+        *[F.col(f"cells.{name}" if kind == "string" else f"{at[name]}.{name}").alias(name) for name, kind in ORDER_LINE_COLUMNS]
     )
+    text = F.coalesce(*[F.when(F.col("first") == name, F.col(f"cells.{name}")) for name, _ in typed])
     refused = judged.where("broken or first is not null").select(
-        "file", "line", F.when(~F.col("broken"), F.col("first.name")).alias("column_name"), F.when(~F.col("broken"), F.col("first.text")).alias("text")
+        "file", "line", F.when(~F.col("broken"), F.col("first")).alias("column_name"), F.when(~F.col("broken"), text).alias("text")
     )
     return conform(kept), refused
 
 
+def _computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a further column, computed once per row.
+
+    A filter is pushed below a plain column and then repeats its expression at every mention; below an ``explode`` it
+    cannot go.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def conform(raw: DataFrame) -> DataFrame:
     """Order-line columns in file order with their declared types, NaN as null."""
     present = dict(raw.dtypes)

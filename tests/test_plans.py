@@ -18,9 +18,9 @@ from repurchase.operators.rolling import daily_sums, rolling_features
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.snapshot import snapshot_features
 from repurchase.plans.dataset import snapshot_dataset
-from repurchase.schema import SnapshotSpec
+from repurchase.schema import ORDER_LINE_COLUMNS, SnapshotSpec
 from repurchase.sources.storage import load_features, load_statistics, open_buckets, save_buckets, save_features
-from repurchase.sources.transactions import read_transactions, save_transactions
+from repurchase.sources.transactions import read_transactions, save_transactions, split_transactions
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -186,3 +186,12 @@ def test_stored_statistics_spare_the_scan(spark, tmp_path):
     assert load_statistics(spark, path) is None
     save_features(lines, str(tmp_path / "plain"))
     assert load_statistics(spark, str(tmp_path / "plain")) is None
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """A filter that repeats the parser at every mention of a cell takes minutes per million lines."""
+    (tmp_path / "lines.csv").write_text("1,2\n")
+    for part in split_transactions(spark, str(tmp_path)):
+        text = part._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("from_csv(") == 1
+        assert text.count("try_cast(cells") <= len(ORDER_LINE_COLUMNS)
