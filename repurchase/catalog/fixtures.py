@@ -77,8 +77,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Order lines with the given columns (default all), joining only the tables they come from.
 
-    Orders meet their customer before the lines, so the widest table is shuffled for orders only, and
-    Spark decides by size which sides are broadcast.
+    Lines meet their part while they are narrow and orders their customer before the lines, so where Spark broadcasts
+    neither, no wide row is shuffled for them.
     """
     columns = columns or tuple(ORDER_LINES)
     needed = {ORDER_LINES[c][1] for c in columns}
@@ -89,9 +89,10 @@ def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
             nation = table(spark, sf_dir, "nation")
             customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem")
     if "part" in needed:
         lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(*[F.expr(ORDER_LINES[c][0]).alias(c) for c in columns])
 
 

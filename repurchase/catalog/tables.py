@@ -24,6 +24,9 @@ TX_COLUMNS = [name for name, _ in ORDER_LINE_COLUMNS if name in ORDER_LINES]
 
 TX_SQL = ", ".join("goods_class_id::bigint as goods_class_id" if c == "goods_class_id" else c for c in TX_COLUMNS)
 
+# Text takes several times the room of the tables it comes from. A packed file is read by one task, so files are short.
+PACKED = {"compression": "lz4", "maxRecordsPerFile": 500_000}
+
 
 @query("s1_tx_view", f"with {TX} select * from tx")
 def _(spark, sf_dir):
@@ -42,7 +45,7 @@ def _(spark, sf_dir):
             value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         file_columns.append(value.alias(name))
     path = scratch_path(spark, "order-lines")
-    lines.select(*file_columns).write.option("header", True).csv(path)
+    lines.select(*file_columns).write.options(header=True, **PACKED).csv(path)
     return transactions.read_transactions(spark, path).select(*TX_COLUMNS)
 
 
@@ -95,7 +98,7 @@ def faulty_files(spark, sf_dir) -> str:
     text = F.when(F.expr(SHORT), F.substring_index(text, ",", 9)).otherwise(text)
     header = spark.createDataFrame([(",".join(name for name, _ in ORDER_LINE_COLUMNS),)], "value string")
     path = scratch_path(spark, "faulty-lines")
-    lines.select(text.alias("value")).unionByName(header).write.text(path)
+    lines.select(text.alias("value")).unionByName(header).write.options(**PACKED).text(path)
     return path
 
 

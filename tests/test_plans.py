@@ -195,3 +195,14 @@ def test_lines_are_parsed_once(spark, tmp_path):
         text = part._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("from_csv(") == 1
         assert text.count("try_cast(cells") <= len(ORDER_LINE_COLUMNS)
+
+
+def test_lines_meet_parts_while_they_are_narrow(spark):
+    text = order_lines(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" in next(line for line in text.splitlines() if "Join " in line)
+
+
+def test_lines_as_text_are_packed(spark):
+    for name in ("s1_read_csv", "s1_good_lines"):
+        files = load()[name].run(spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and all(f.endswith(".lz4") for f in files)
