@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repurchase.catalog import load, models
+from repurchase.catalog import snapshot as months_catalog
 from repurchase.catalog.fixtures import SNAPSHOT, START, UNTIL, event_lines, order_lines, table
 from repurchase.functions.ordering import spans
 from repurchase.operators.clean import fill_mean, known_report, narrow_types, range_report
@@ -216,3 +217,14 @@ def test_snapshot_tables_join_lines_once(spark, monkeypatch):
     for df in models.snapshot_tables(spark, "/root/testdata/sf0.001"):
         assert "Join" not in plan(df)
     assert len(joined) == 1
+
+
+@pytest.mark.parametrize("name", ["snapshot_from_months", "snapshot_from_months_mid"])
+def test_lines_of_an_order_stay_together_in_their_state(spark, monkeypatch, name):
+    """Lines are dealt out by order last, so that partial state rows combine the lines of an order."""
+    seen = []
+    save = months_catalog.save_transactions
+    monkeypatch.setattr(months_catalog, "save_transactions", lambda tx, path: seen.append(tx) or save(tx, path))
+    load()[name].run(spark, "/root/testdata/sf0.001")
+    text = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" in next(line for line in text.splitlines() if "Join " in line)
