@@ -151,7 +151,8 @@ def compare_with_next(documents: DataFrame, samples: int = SAMPLES) -> DataFrame
     """
     rows = keyed(documents)
     thin = neighbours(rows)
-    texts = rows.select(*KEY, "text").dropDuplicates(KEY)
+    # An aggregate keeps its name in every copy of the plan, so that the heads are shuffled once; dropDuplicates does not.
+    texts = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
     asked = thin.select(F.col("next_id").alias("_id"), F.col("next_hash").alias("_hash"), F.struct(*KEY).alias("_for"), "n_chars")
     heads = asked.join(texts, KEY).select("_for._id", "_for._hash", F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")).alias("_head"))
     full = texts.join(thin.select(*KEY, "n_chars", "copies"), KEY).join(heads, KEY)

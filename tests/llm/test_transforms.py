@@ -152,6 +152,23 @@ def test_a_single_row_is_its_own_next(spark):
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"one two twoone two two").hexdigest()
 
 
+def test_beginnings_of_next_texts_are_shuffled_once(spark, docs, monkeypatch):
+    seen, save = {}, weighted.stored
+    monkeypatch.setattr(weighted, "stored", lambda df, name: save(seen.setdefault(name, df), name))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("false", "-1")):
+            spark.conf.set(name, value)
+        weighted.compare_with_next(docs, samples=1)
+        text = seen["fingerprints"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    # Texts, their rows, whom they follow, and beginnings; digests and fingerprints read the same ones.
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning", text)) == 4
+
+
 def test_collisions_follow_the_generalised_jaccard_similarity(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
