@@ -57,9 +57,12 @@ def month_state(tx: DataFrame, spec: SnapshotSpec = SnapshotSpec(), known: dict[
 
 
 def save_state(state: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per month; ``mode="overwrite"`` replaces the months that occur in ``state`` and keeps the others."""
-    writer = state.hint("rebalance", MONTH_COLUMN).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(MONTH_COLUMN).parquet(path)
+    """One folder per month; ``mode="overwrite"`` replaces the months that occur in ``state`` and keeps the others.
+
+    The tasks that made the rows write them, without a further shuffle.
+    """
+    writer = state.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(MONTH_COLUMN).parquet(path, compression="zstd")
 
 
 def merge_months(state: DataFrame, spec: SnapshotSpec = SnapshotSpec()) -> DataFrame:

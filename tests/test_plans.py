@@ -228,3 +228,14 @@ def test_lines_of_an_order_stay_together_in_their_state(spark, monkeypatch, name
     load()[name].run(spark, "/root/testdata/sf0.001")
     text = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" in next(line for line in text.splitlines() if "Join " in line)
+
+
+@pytest.mark.parametrize("save", [save_transactions, save_state])
+def test_lines_and_states_are_written_where_they_are(spark, tmp_path, save):
+    """Three tasks write a file of the month each; dealt out by month, one task would write them all."""
+    rows = spark.range(0, 300, numPartitions=3).selectExpr(
+        "id as customer_id", "timestamp_ntz '2001-01-05 10:00:00' as order_pay_time", "200101L as pay_month"
+    )
+    save(rows if save is save_state else rows.drop("pay_month"), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out" / "pay_month=200101").glob("*.parquet"))) == 3
+    assert spark.read.parquet(str(tmp_path / "out")).select("customer_id").distinct().count() == 300
