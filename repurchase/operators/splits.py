@@ -45,15 +45,15 @@ def with_holdout(
     # The slice in which the last row taken of a class lies, and how many are taken of it.
     border = counted.where((wanted > F.col("_upto") - F.col("_n")) & (wanted <= F.col("_upto")))
     border = border.select(label, "_slice", (wanted - (F.col("_upto") - F.col("_n"))).alias("_left"))
-    inside = join_null_safe(thin, border, [label, "_slice"])
+    inside = join_null_safe(thin, F.broadcast(border), [label, "_slice"])
     place = F.row_number().over(Window.partitionBy(label).orderBy("_hash", key))
     cuts = inside.withColumn("_at", place).where("_at = _left")
     cuts = cuts.select(label, F.col("_hash").alias("_cut_hash"), F.col(key).alias("_cut_key"))
     taken = (F.col("_hash") < F.col("_cut_hash")) | (
         (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
     )
-    # A class of which nothing is taken has no cut.
-    flagged = join_null_safe(hashed, cuts, [label], "left").withColumn(name, F.coalesce(taken, F.lit(False)))
+    # A class of which nothing is taken has no cut. Dealt out by class for the join, all rows of one would meet in a task.
+    flagged = join_null_safe(hashed, F.broadcast(cuts), [label], "left").withColumn(name, F.coalesce(taken, F.lit(False)))
     return flagged.drop("_hash", "_cut_hash", "_cut_key")
 
 

@@ -27,11 +27,11 @@ def with_null_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Add weights under which every class counts the same in total; rows without label are a class of their own."""
-    # One row per class.
+    # One row per class, sent to the rows: dealt out by class, all rows of one would meet in a task.
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     rows = sizes.agg(F.sum("_n") / F.count("*")).scalar()
     weights = sizes.select(label, (rows / F.col("_n")).alias(name))
-    return join_null_safe(df, weights, [label])
+    return join_null_safe(df, F.broadcast(weights), [label])
 
 
 def train_gbt(

@@ -19,6 +19,8 @@ from repurchase.operators.profile import null_counts
 from repurchase.operators.rolling import daily_sums, rolling_features
 from repurchase.operators.scaling import minmax_scale
 from repurchase.operators.snapshot import snapshot_features
+from repurchase.operators.splits import stratified_split
+from repurchase.operators.training import class_weights
 from repurchase.plans.dataset import snapshot_dataset
 from repurchase.schema import ORDER_LINE_COLUMNS, SnapshotSpec
 from repurchase.sources.storage import load_features, load_statistics, open_buckets, save_buckets, save_features
@@ -239,3 +241,16 @@ def test_lines_and_states_are_written_where_they_are(spark, tmp_path, save):
     save(rows if save is save_state else rows.drop("pay_month"), str(tmp_path / "out"))
     assert len(list((tmp_path / "out" / "pay_month=200101").glob("*.parquet"))) == 3
     assert spark.read.parquet(str(tmp_path / "out")).select("customer_id").distinct().count() == 300
+
+
+def test_rows_of_a_class_are_trained_on_where_they_are(spark):
+    """Weights and split come to the rows: joined by class, all rows of a class would be one task of every round."""
+    rows = spark.range(0, 2100, numPartitions=7).selectExpr("id as customer_id", "cast(nullif(id % 3, 2) as int) as label")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part in stratified_split(class_weights(rows, "label"), "label", 0.2, 42, "customer_id"):
+            held = [r["count"] for r in part.groupBy(F.spark_partition_id(), "label").count().collect()]
+            assert len(held) == 21 and max(held) < 3 * min(held)
+            assert {(r.label, round(r.weight, 9)) for r in part.select("label", "weight").distinct().collect()} == {(0, 1.0), (1, 1.0), (None, 1.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
